@@ -1,7 +1,93 @@
-"""The corpus pipeline."""
+"""From raw documents to packed sequences: five stages, each written before the next reads it."""
 
-STAGES = []
+from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from docstrata.llm.common import WHITE, materialize, read, text_of
+from docstrata.llm.linededup import kept_text, line_keep_bitmaps, with_bitmaps
+from docstrata.llm.mixing import mix
+from docstrata.llm.near import jaccard_join
+from docstrata.llm.packing import pack
+from docstrata.llm.quality import quality_rules
+
+#: A line in this many documents or more stays in the first of them alone.
+REPEATED_LINE_DOCS = 10
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the quality rules keep (operator 4)."""
+    return quality_rules(docs, carry=docs.columns).where("kept").select("row_.*")
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that an earlier document holds (operator 8).
+
+    Only lines found in REPEATED_LINE_DOCS documents or more count as repeated. n_chars
+    follows the text. A document of which no word is left has nothing of its own and goes;
+    one that had none before stays.
+    """
+    columns = docs.columns
+
+    def rewrite(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            bitmaps = batch.column("bitmap").to_pylist()
+            texts = [t if b is None else kept_text(t, b)[0] for t, b in zip(batch.column("text").to_pylist(), bitmaps, strict=True)]
+            at = batch.schema.get_field_index("text")
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+
+    marked = with_bitmaps(docs, line_keep_bitmaps(docs, min_docs=REPEATED_LINE_DOCS, keep="first")).drop("text_key")
+    cut = marked.mapInArrow(rewrite, marked.schema)
+    gone = F.col("bitmap").isNotNull() & ~F.col("text").rlike(f"[^{WHITE}]")
+    left = cut.where(~gone).withColumn("n_chars", F.when(F.col("bitmap").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return left.select(*columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, of the smallest doc_id, of each group of near duplicates (operator 6).
+
+    Rows that repeat a document, doc_id and text, are copies too: one of them stays.
+    """
+    gone = materialize(jaccard_join(docs, threshold=0.8, width=5).where(~F.col("kept")).select("doc_id").distinct(), "gone")
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    key = [F.col("doc_id"), F.xxhash64(text_of()).alias("text_key")]
+    twice = materialize(left.where("doc_id is not null").select(*key).groupBy("doc_id", "text_key").count().where("count > 1").select("doc_id"), "twice")
+    if twice.isEmpty():
+        return left
+    once = left.join(twice.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    return left.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents by target weight, a row for each epoch that takes them (operator 2)."""
+    return mix(docs, keep=docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences with their ids (operator 5)."""
+    import public_tokenizers
+
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), window=1024, end_id=0)
+
+
+STAGES = [
+    ("quality", quality),
+    ("repeated_lines", repeated_lines),
+    ("near_duplicates", near_duplicates),
+    ("mixing", mixing),
+    ("packing", packing),
+]
+
+#: Tokenization cannot be said in SQL; tests/llm holds the stages against plain versions.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared folder and read again."""
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

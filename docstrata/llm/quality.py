@@ -35,7 +35,7 @@ RULES = [
 ]
 
 
-def quality_rules(docs: DataFrame, rules=RULES, min_words: int = 50, max_repeat: float = 0.5) -> DataFrame:
+def quality_rules(docs: DataFrame, rules=RULES, min_words: int = 50, max_repeat: float = 0.5, carry: list[str] | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, the base measures, the ratios and the verdict.
 
     base_failed: fewer than min_words words, or more than max_repeat of the words in
@@ -44,9 +44,11 @@ def quality_rules(docs: DataFrame, rules=RULES, min_words: int = 50, max_repeat:
 
     Null and empty texts have no words and fail the base. A null doc_id is returned as
     null. Repeated rows are judged each for itself. Other columns of docs are not read
-    and cannot clash. An empty table gives an empty result.
+    and cannot clash; those named in carry come back inside the struct row_. An empty table
+    gives an empty result.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text_"))
+    row = [F.struct(*carry).alias("row_")] if carry else []
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text_"), *row)
     words = F.filter(F.split("text_", f"[{WHITE}]+"), lambda w: w != "")
     lines = F.filter(F.split("text_", "\n"), lambda x: x.rlike(f"[^{WHITE}]"))
     stop = sorted({w for ws in STOP_WORDS.values() for w in ws.split()})
@@ -64,6 +66,7 @@ def quality_rules(docs: DataFrame, rules=RULES, min_words: int = 50, max_repeat:
         ),
     )
     counted = split.select(
+        *(["row_"] if carry else []),
         "doc_id",
         n.alias("n_words"),
         word_chars.alias("word_chars"),
@@ -117,8 +120,10 @@ def quality_rules(docs: DataFrame, rules=RULES, min_words: int = 50, max_repeat:
             "failed_rules": F.array_join(failed, ","),
         }
     )
+    # A filter on the verdict must not be pushed below: it would repeat the measures for each rule.
+    judged = judged.withColumn("tick_", F.monotonically_increasing_id()).where("tick_ >= 0")
     return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        *(["row_"] if carry else []), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (F.col("failed_rules") == "")).alias("kept"), "failed_rules",
         "mean_word", "symbol_ratio", "stop_ratio", "alpha_ratio", "dup_line_ratio", "bullet_ratio", "ellipsis_ratio",
     )

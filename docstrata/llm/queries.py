@@ -11,6 +11,30 @@ from pyspark.sql import functions as F
 from docstrata.llm.common import read, text_of
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docstrata.llm.langid import identify
+
+    return identify(read(spark, sf_dir, "pages"), read(spark, sf_dir, "documents"))
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docstrata.llm.mixing import mix
+
+    return mix(read(spark, sf_dir, "documents"))
+
+
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docstrata.llm.vectors import embedding_near_dedup
+
+    return embedding_near_dedup(read(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docstrata.llm.near import jaccard_join
+
+    return jaccard_join(read(spark, sf_dir, "documents"), threshold=0.8, width=5)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docstrata.llm.quality import quality_rules
 
@@ -53,10 +77,9 @@ def _vocabulary(name: str) -> str:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from docstrata.llm.packing import pack, with_crc
+    from docstrata.llm.packing import pack
 
-    pieces = pack(read(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), window=1024, end_id=0)
-    return with_crc(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "cut_before", "cut_after")
+    return pack(read(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), window=1024, end_id=0, ids=False)
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +108,9 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op4_quality_rules, op5_packing, op7_license_scan, op8_line_dedup, op9_token_counts, op10_secret_scan)
+    for f in (
+        op1_language_id, op2_mixing, op3_embedding_near_dedup, op4_quality_rules, op5_packing,
+        op6_jaccard_join, op7_license_scan, op8_line_dedup, op9_token_counts, op10_secret_scan,
+    )
 }
 ORACLE_SQL: dict[str, str] = {}
