@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docstrata.llm.common import text_of
-from docstrata.llm.tokenize import Vocabulary, as_points, blocks, dictionary, slices
+from docstrata.llm.tokenize import Vocabulary, as_points, blocks, dictionary, shared, slices
 
 # Symbols: classes of characters as the pattern tells them apart.
 BLANK, ALPHA, DIGIT, MARK, QUOTE, STMD, RV, EE, LL, END = range(10)
@@ -116,7 +116,7 @@ class TokenCounter:
 
     def _emit(self, words: list[bytes]) -> np.ndarray:
         """Tokens emitted for each complete pre-token."""
-        if len(self.emitted) > 1_500_000:  # bounded memory: compile anew
+        if len(self.emitted) > 500_000:  # bounded memory: compile anew
             self.emitted = {}
         known = self.emitted
         out = np.empty(len(words), np.int64)
@@ -157,9 +157,6 @@ class TokenCounter:
         return cut[1:] - cut[:-1]
 
 
-_COUNTERS: dict[str, TokenCounter] = {}
-
-
 def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) for each row of docs.
 
@@ -169,7 +166,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _COUNTERS.get(path) or _COUNTERS.setdefault(path, TokenCounter(path))
+        counter = shared(TokenCounter, path)
         for batch in batches:
             n = counter.counts(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(

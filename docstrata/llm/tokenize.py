@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SPACE, LETTER, NUMBER, OTHER, UNKNOWN = 0, 1, 2, 3, 255
-_BLOCK = 6_000_000  # code points handled at once; a longer text is cut between words
+_BLOCK = 3_000_000  # code points handled at once; a longer text is cut between words
 _CUT = re.compile("[A-Za-z0-9] [A-Za-z0-9]")  # no pre-token of either pattern crosses this blank
 
 
@@ -187,6 +187,7 @@ class ByteLevelIds:
 
     def __init__(self, path: str):
         self.vocab = Vocabulary(path)
+        self.kind = "<u2" if self.vocab.library.get_vocab_size() <= 1 << 16 else "<u4"  # the least width of an id
         self.place: dict[bytes, int] = {}
         self.flat = np.zeros(0, np.int32)
         self.lo = np.zeros(0, np.int64)
@@ -194,7 +195,7 @@ class ByteLevelIds:
 
     def _learn(self, words: list[bytes]) -> np.ndarray:
         """Places in the tables of the words' ids; new words are encoded once."""
-        if len(self.place) > 1_500_000:  # bounded memory: start over
+        if len(self.place) > 500_000:  # bounded memory: start over
             self._forget()
         place, new = self.place, []
         at = np.empty(len(words), np.int64)
@@ -247,3 +248,14 @@ class ByteLevelIds:
                 else:
                     out.append(ids[cut[i] : cut[i + 1]])
         return out
+
+
+_SHARED: dict[tuple[type, str], object] = {}
+
+
+def shared(kind: type, path: str):
+    """The worker process's one encoder of this kind, which keeps what earlier tasks have learnt."""
+    key = (kind, path)
+    if key not in _SHARED:
+        _SHARED[key] = kind(path)
+    return _SHARED[key]
