@@ -1,4 +1,549 @@
-"""Every query of the engine with its oracle."""
+"""Every query of the engine with its oracle.
 
-QUERIES = {}
-ORACLE_SQL = {}
+A plan is a function of a dialect (plans.dialect). Spark runs the one spelling, the oracle the
+other, on another engine; the expected values of the text rules are tested on literals too.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from docstrata.functions import text as fn
+from docstrata.operators import blocks as b
+from docstrata.plans.dialect import Ansi, Spark
+
+PLANS: dict[str, Callable] = {}
+
+
+def plan(f: Callable) -> Callable:
+    PLANS[f.__name__] = f
+    return f
+
+
+def n(x: str, name: str) -> str:
+    """A count or integer as BIGINT, the same in both engines."""
+    return f"CAST({x} AS BIGINT) AS {name}"
+
+
+# Scalars and classification (F1-F22, PF3-PF21, A1)
+
+
+@plan
+def block_type_counts(d):
+    return f"{b.blocks(d)} SELECT x.lang, b.block_type, b.role, {n('count(*)', 'n')} FROM blocks b JOIN {d.table('documents')} x ON x.doc_id = b.doc_id GROUP BY x.lang, b.block_type, b.role"
+
+
+@plan
+def hier_heading_levels(d):
+    return f"{b.blocks(d)} SELECT doc_id, pos, num, {n('hier', 'level')} FROM blocks WHERE num <> ''"
+
+
+@plan
+def heading_levels(d):
+    return f"{b.blocks(d)} SELECT doc_id, pos, {n('level', 'level')}, role FROM blocks WHERE block_type = 'heading'"
+
+
+@plan
+def strip_heading(d):
+    return f"{b.blocks(d)} SELECT doc_id, pos, {fn.strip_heading(d, 't')} AS text FROM blocks WHERE block_type = 'heading'"
+
+
+@plan
+def residual_numbers(d):
+    return f"{b.blocks(d)} SELECT doc_id, pos, {fn.residual_number(d, 't')} AS residual FROM blocks"
+
+
+@plan
+def list_markers(d):
+    return f"{b.blocks(d)} SELECT kind, list_type, {n('level', 'level')}, {n('count(*)', 'n')} FROM blocks WHERE kind IS NOT NULL GROUP BY kind, list_type, level"
+
+
+@plan
+def list_strip(d):
+    return f"{b.blocks(d)} SELECT doc_id, pos, {fn.strip_list(d, 't')} AS text FROM blocks WHERE block_type = 'list_item'"
+
+
+@plan
+def list_style_map(d):
+    style = "CASE WHEN kind IN ('letter', 'decimal') THEN '1.1一级列项-编号' WHEN kind = 'dash' THEN '1.2一级列项-无编号' ELSE '2.2二级列项-无编号' END"
+    shaped = "CASE WHEN list_type = 'dash' AND level > 0 THEN 'bullet_dot' WHEN list_type = 'bullet_dot' AND level = 0 THEN 'dash' WHEN list_type = 'decimal_paren' AND level = 0 THEN 'lower_letter_paren' WHEN list_type = 'lower_letter_paren' AND level > 0 THEN 'decimal_paren' ELSE list_type END"
+    return f"{b.blocks(d)} SELECT doc_id, pos, {style} AS style, {shaped} AS list_type FROM blocks WHERE block_type = 'list_item'"
+
+
+@plan
+def caption_parts(d):
+    text = fn.strip(d, d.extract("t", fn.CAPTION, 6))
+    return f"{b.blocks(d)} SELECT doc_id, pos, caption_type, {d.extract('t', fn.CAPTION, 1)} AS label, CASE WHEN {text} LIKE '图%' OR {text} LIKE '表%' THEN '' ELSE {text} END AS text FROM blocks WHERE block_type = 'caption'"
+
+
+@plan
+def note_roles(d):
+    return f"{b.blocks(d)} SELECT doc_id, pos, role, {fn.strip(d, d.replace('t', fn.NOTE))} AS text FROM blocks WHERE role IN ('note', 'numbered_note')"
+
+
+@plan
+def formula_flags(d):
+    return f"{b.blocks(d)} SELECT doc_id, pos, {fn.is_formula(d, 't')} AS formula, {d.matches('t', fn.DATE)} AS dated, (length(t) < 200 AND {d.matches('t', fn.TOC_ENTRY)}) AS toc_entry, (t IN ('目次', '目录', '目  次')) AS toc_title FROM blocks"
+
+
+@plan
+def appendix_markers(d):
+    return f"{b.blocks(d)} SELECT doc_id, pos, {d.extract('t', '^附录([A-Z])', 1)} AS appendix_id, {fn.strip(d, d.replace('t', '^附录[A-Z]'))} AS title FROM blocks WHERE block_type = 'appendix'"
+
+
+@plan
+def unordered_candidates(d):
+    marker = d.extract("t", "^([-–—－•·●○■□▪▫◆◇▶▷►▻※★☆✓✔])", 1)
+    return f"{b.blocks(d)} SELECT doc_id, pos, {marker} AS marker, {fn.strip(d, 'substring(t, 2)')} AS content FROM blocks WHERE kind IS NULL AND {d.matches('t', fn.UNORDERED)} AND {d.matches('substring(t, 2)', r'[\p{L}\p{N}]')}"
+
+
+# Tables (SC2-SC4, PF12-PF16, A8, A11)
+
+
+def _tables(d) -> str:
+    return (
+        b.blocks(d) + ", rows_ AS (SELECT doc_id, pos, t, table_start, sum(CASE WHEN table_start THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS tid FROM blocks WHERE block_type = 'table'), "
+        f"kept AS (SELECT doc_id, tid, pos, t, row_number() OVER (PARTITION BY doc_id, tid ORDER BY pos) - 1 AS r FROM rows_ WHERE NOT {d.matches('t', '^[-| ]+$')}), "
+        f"cells AS ({d.matches_all('kept', 'doc_id, tid, r', 't', '[|]([^|]+)')})"
+    )
+
+
+@plan
+def md_tables(d):
+    return f"{_tables(d)} SELECT doc_id, {n('tid', 'tid')}, {n('min(pos)', 'start_pos')}, {n('count(*)', 'n_rows')} FROM kept GROUP BY doc_id, tid"
+
+
+@plan
+def table_cells(d):
+    return f"{_tables(d)} SELECT doc_id, {n('tid', 'tid')}, {n('r', 'r')}, {n('n', 'c')}, {fn.strip(d, 'item')} AS text, CASE WHEN r = 0 THEN 'header' ELSE 'body' END AS cell_role FROM cells"
+
+
+@plan
+def table_class(d):
+    payload = d.matches("item", "^[ ]*[{<]|HTTP/|[{].*[:\"]")
+    return (
+        f"{_tables(d)}, facts AS (SELECT doc_id, tid, count(*) AS n_cells, sum(CASE WHEN {payload} THEN 1 ELSE 0 END) AS n_payload, max(length(item)) AS longest, max(r) + 1 AS n_rows FROM cells GROUP BY doc_id, tid) "
+        f"SELECT doc_id, {n('tid', 'tid')}, {n('n_cells', 'n_cells')}, CASE WHEN n_payload * 4 >= n_cells AND n_payload > 0 THEN 'code_sample' WHEN n_rows = 1 THEN 'layout' ELSE 'data' END AS table_type, (n_payload * 4 < n_cells AND n_rows > 1) AS caption_eligible FROM facts"
+    )
+
+
+# Windows over sections, lists and headings
+
+
+@plan
+def section_fill(d):
+    return f"{b.sections(d)} SELECT doc_id, pos, {n('sid', 'sid')}, heading FROM sections"
+
+
+@plan
+def section_sizes(d):
+    return f"{b.sections(d)} SELECT doc_id, {n('sid', 'sid')}, {n('count(*)', 'n_blocks')}, {n('sum(length(t))', 'n_chars')} FROM sections GROUP BY doc_id, sid"
+
+
+@plan
+def section_marker_counts(d):
+    marker = d.extract("t", "^([■□▪▫◆◇▶▷※★☆])", 1)
+    return f"{b.sections(d)}, m AS (SELECT doc_id, sid, pos, {marker} AS marker FROM sections) SELECT doc_id, pos, marker, {n('count(*) OVER (PARTITION BY doc_id, sid, marker)', 'n')} FROM m WHERE marker <> ''"
+
+
+@plan
+def list_restart(d):
+    return f"{b.list_runs(d)} SELECT doc_id, pos, {n('run', 'run')}, {n('level', 'level')}, list_type, (nth = 1) AS restart FROM items"
+
+
+@plan
+def list_runs(d):
+    return f"{b.list_runs(d)} SELECT doc_id, {n('run', 'run')}, {n('count(*)', 'n_items')}, {n('max(level)', 'max_level')}, {n('sum(CASE WHEN level > prev_level + 1 THEN 1 ELSE 0 END)', 'jumps')} FROM items GROUP BY doc_id, run"
+
+
+@plan
+def isolated_items(d):
+    return f"{b.list_runs(d)} SELECT doc_id, pos, t FROM items WHERE run_length = 1"
+
+
+@plan
+def heading_jumps(d):
+    return (
+        f"{b.blocks(d)}, heads AS (SELECT doc_id, pos, level, lag(level) OVER (PARTITION BY doc_id ORDER BY pos) AS prev FROM blocks WHERE block_type = 'heading' AND level > 0) "
+        f"SELECT doc_id, pos, CASE WHEN prev IS NULL THEN 'first_below_one' ELSE 'level_jump' END AS issue, {n('prev', 'prev')}, {n('level', 'level')} FROM heads WHERE (prev IS NULL AND level > 1) OR level > prev + 1"
+    )
+
+
+@plan
+def heading_shift(d):
+    return f"{b.blocks(d)}, heads AS (SELECT doc_id, level, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM blocks WHERE block_type = 'heading' AND level > 0) SELECT doc_id, {n('level - 1', 'shift')} FROM heads WHERE k = 1"
+
+
+@plan
+def body_runs(d):
+    return (
+        f"{b.blocks(d)}, marked AS (SELECT doc_id, pos, (block_type = 'body' AND role = 'body') AS open_body, sum(CASE WHEN block_type = 'body' AND role = 'body' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM blocks) "
+        f"SELECT doc_id, {n('run', 'run')}, {n('min(pos)', 'start_pos')}, {n('count(*)', 'size')} FROM marked WHERE open_body GROUP BY doc_id, run"
+    )
+
+
+@plan
+def group_scores(d):
+    return f"{b.body_groups(d)} SELECT doc_id, {n('run', 'run')}, {n('start_i', 'start_i')}, {n('end_i', 'end_i')}, confidence, CASE WHEN confidence >= 85e-2 THEN 'auto' ELSE 'review' END AS status FROM grouped WHERE confidence >= 65e-2"
+
+
+# Numbering
+
+
+@plan
+def num_groups_physical(d):
+    return f"{b.deco_num(d)} SELECT doc_id, {n('gid', 'gid')}, num_id, {n('min(pos)', 'first_pos')}, {n('count(*)', 'size')} FROM physical GROUP BY doc_id, gid, num_id"
+
+
+@plan
+def num_groups_logical(d):
+    return (
+        f"{b.deco_num(d)}, groups AS (SELECT doc_id, gid, min(num_id) AS num_id, min(pos) AS first_pos, max(pos) AS last_pos, count(*) AS size, min(ilvl) AS lo, max(ilvl) AS hi, min(start) AS start FROM physical GROUP BY doc_id, gid), "
+        "stepped2 AS (SELECT *, CASE WHEN lag(last_pos) OVER w = first_pos - 1 AND lo = hi AND lag(lo) OVER w = lag(hi) OVER w AND lag(lo) OVER w = lo AND start = lag(start) OVER w + lag(size) OVER w THEN 0 ELSE 1 END AS opens2 FROM groups WINDOW w AS (PARTITION BY doc_id ORDER BY gid)), "
+        "logical AS (SELECT *, sum(opens2) OVER (PARTITION BY doc_id ORDER BY gid) AS lid FROM stepped2) "
+        f"SELECT doc_id, {n('lid', 'lid')}, {n('count(*)', 'n_physical')}, {n('sum(size)', 'size')}, {n('count(DISTINCT num_id)', 'n_num_ids')} FROM logical GROUP BY doc_id, lid"
+    )
+
+
+@plan
+def list_status(d):
+    return f"{b.deco_num(d)}, g AS (SELECT doc_id, gid, count(*) AS size, min(ilvl) AS lo, max(ilvl) AS hi FROM physical GROUP BY doc_id, gid) SELECT doc_id, CASE WHEN size > 1 AND lo = hi THEN 'detected' WHEN size > 1 THEN 'ambiguous' ELSE 'ignored' END AS status, {n('count(*)', 'n')} FROM g GROUP BY doc_id, CASE WHEN size > 1 AND lo = hi THEN 'detected' WHEN size > 1 THEN 'ambiguous' ELSE 'ignored' END"
+
+
+@plan
+def list_level_jumps(d):
+    return f"{b.deco_num(d)}, s AS (SELECT doc_id, gid, pos, level, lag(level) OVER (PARTITION BY doc_id, gid ORDER BY pos) AS prev FROM physical) SELECT doc_id, pos, {n('prev', 'prev')}, {n('level', 'level')} FROM s WHERE level > prev + 1"
+
+
+@plan
+def list_start_overrides(d):
+    return f"{b.deco_num(d)}, s AS (SELECT doc_id, num_id, pos, start, row_number() OVER (PARTITION BY doc_id, num_id ORDER BY pos) AS k FROM deco_num) SELECT doc_id, num_id, pos, (start > 1) AS has_override FROM s WHERE k = 1"
+
+
+# Captions (J3, J4, M5, W8, W9, W16, W19, W20)
+
+
+@plan
+def caption_adjacency(d):
+    return f"{b.neighbours(d)} SELECT doc_id, pos, caption_type, CASE WHEN before = 'table' AND after = 'table' THEN 'ambiguous' WHEN after = 'table' THEN 'after' WHEN before = 'table' THEN 'before' ELSE 'orphan' END AS placement FROM neighbours WHERE block_type = 'caption'"
+
+
+@plan
+def caption_missing(d):
+    return f"{b.neighbours(d)} SELECT doc_id, pos AS table_pos FROM neighbours WHERE table_start AND coalesce(before, '') <> 'caption'"
+
+
+@plan
+def caption_order(d):
+    return f"{b.neighbours(d)} SELECT doc_id, pos, {n('row_number() OVER (PARTITION BY doc_id ORDER BY pos * 3 + CASE WHEN block_type = ' + chr(39) + 'caption' + chr(39) + ' THEN 0 ELSE 1 END)', 'new_ord')} FROM neighbours"
+
+
+@plan
+def caption_lookahead(d):
+    far = " ".join(f"WHEN lead(block_type, {k}) OVER w = 'table' THEN {k} WHEN coalesce(lead(block_type, {k}) OVER w, 'end') NOT IN ('body', 'list_item') THEN NULL" for k in (1, 2, 3, 4))
+    return f"{b.blocks(d)}, looked AS (SELECT doc_id, pos, block_type, CASE {far} ELSE NULL END AS ahead FROM blocks WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) SELECT doc_id, pos, {n('ahead', 'ahead')} FROM looked WHERE block_type = 'caption'"
+
+
+@plan
+def caption_context(d):
+    reset = "CASE WHEN block_type IN ('heading', 'table', 'caption', 'appendix') THEN 1 ELSE 0 END"
+    return (
+        f"{b.blocks(d)}, g AS (SELECT *, sum({reset}) OVER (PARTITION BY doc_id ORDER BY pos) - {reset} AS grp FROM blocks), "
+        "near AS (SELECT c.doc_id, c.pos, x.pos AS xpos, substring(x.t, 1, 40) AS t, row_number() OVER (PARTITION BY c.doc_id, c.pos ORDER BY x.pos DESC) AS back "
+        "FROM g c JOIN g x ON x.doc_id = c.doc_id AND x.grp = c.grp AND x.pos < c.pos WHERE c.block_type = 'caption' AND x.block_type IN ('body', 'list_item')) "
+        f"SELECT doc_id, pos, {n('count(*)', 'n_context')}, {d.listed('t', 'xpos')} AS context FROM near WHERE back <= 3 GROUP BY doc_id, pos"
+    )
+
+
+@plan
+def review_context(d):
+    return f"{b.blocks(d)}, r AS (SELECT doc_id, pos, block_type, lag(t, 2) OVER w AS p2, lag(t) OVER w AS p1, lead(t) OVER w AS n1, lead(t, 2) OVER w AS n2 FROM blocks WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) SELECT doc_id, pos, p2, p1, n1, n2 FROM r WHERE block_type = 'appendix'"
+
+
+# Appendices
+
+
+@plan
+def appendix_ranges(d):
+    return (
+        f"{b.blocks(d)}, a AS (SELECT *, sum(CASE WHEN block_type = 'appendix' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM blocks) "
+        f"SELECT doc_id, {n('k', 'ordinal')}, chr(CAST(64 + least(k, 26) AS INT)) AS appendix_id, {n('min(pos)', 'start_pos')}, {n('max(pos) + 1', 'end_pos')}, {n('count(*)', 'n_blocks')}, {n('min(CASE WHEN block_type = ' + chr(39) + 'heading' + chr(39) + ' THEN level END)', 'base_level')} FROM a WHERE k > 0 GROUP BY doc_id, k"
+    )
+
+
+@plan
+def appendix_scores(d):
+    return (
+        f"{b.blocks(d)}, placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS total, "
+        "max(CASE WHEN block_type IN ('body', 'heading', 'table', 'list_item') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS content FROM blocks) "
+        f"SELECT doc_id, pos, round(least(1e0, 6e-1 + CASE WHEN {d.matches('t', '附录[A-Z]')} THEN 3e-1 ELSE 0e0 END + CASE WHEN i >= 7e-1 * greatest(1, total - 1) THEN 15e-2 ELSE 0e0 END + CASE WHEN content = 1 THEN 1e-1 ELSE 0e0 END), 3) AS confidence FROM placed WHERE block_type IN ('appendix', 'body') AND t LIKE '%附录%'"
+    )
+
+
+# Table of contents
+
+
+def _toc(d) -> str:
+    tail = d.replace("line", r"[\t ]+[0-9]+$")
+    return (
+        f"WITH {b.deco_lines(d)}, h AS (SELECT doc_id, pos, {d.replace('line', '^#+ ')} AS t, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM deco_lines WHERE line LIKE '## %' OR line LIKE '###### %'), "
+        "toc AS (SELECT doc_id, n - 1000 AS pos, concat(t, chr(9), CAST(n AS VARCHAR(10))) AS line FROM h), "
+        f"entries AS (SELECT doc_id, pos, {d.replace(tail, r'[ \t]+')} AS norm FROM toc), heads AS (SELECT doc_id, pos, {d.replace('t', r'[ \t]+')} AS norm FROM h)"
+    )
+
+
+@plan
+def toc_entry_overlap(d):
+    return f"{_toc(d)}, bounds AS (SELECT doc_id, max(pos) AS end_pos FROM entries GROUP BY doc_id) SELECT e.doc_id, {n('count(*)', 'n_overlap')} FROM entries e JOIN bounds x ON x.doc_id = e.doc_id WHERE EXISTS (SELECT 1 FROM heads h WHERE h.doc_id = e.doc_id AND h.norm = e.norm AND h.pos > x.end_pos) GROUP BY e.doc_id"
+
+
+def _toc_scored(d) -> str:
+    return (
+        f"{_toc(d)}, starts AS (SELECT doc_id, pos AS start_pos FROM entries), spans AS (SELECT s.doc_id, s.start_pos, max(e.pos) AS end_pos, count(*) AS n_entries, "
+        "sum(CASE WHEN h.norm IS NOT NULL THEN 1 ELSE 0 END) AS repeats FROM starts s JOIN entries e ON e.doc_id = s.doc_id AND e.pos BETWEEN s.start_pos AND s.start_pos + 99 "
+        "LEFT JOIN (SELECT DISTINCT doc_id, norm FROM heads) h ON h.doc_id = e.doc_id AND h.norm = e.norm GROUP BY s.doc_id, s.start_pos), "
+        "toc_scores AS (SELECT *, round(least(1e0, 1e-1 + CASE WHEN n_entries >= 2 THEN 2e-1 ELSE 0e0 END + CASE WHEN n_entries >= 5 THEN 1e-1 ELSE 0e0 END + 2e-1 + CASE WHEN repeats > 0 THEN 25e-2 ELSE 0e0 END), 3) AS confidence FROM spans)"
+    )
+
+
+@plan
+def toc_candidates(d):
+    return f"{_toc_scored(d)} SELECT doc_id, {n('start_pos', 'start_pos')}, {n('end_pos', 'end_pos')}, {n('n_entries', 'n_entries')}, confidence FROM toc_scores WHERE confidence >= 4e-1"
+
+
+@plan
+def toc_select(d):
+    return (
+        f"{_toc_scored(d)}, ranked AS (SELECT *, row_number() OVER w AS k, lead(confidence) OVER w AS next FROM toc_scores WHERE confidence >= 4e-1 WINDOW w AS (PARTITION BY doc_id ORDER BY confidence DESC, start_pos)) "
+        f"SELECT doc_id, {n('start_pos', 'start_pos')}, confidence, CASE WHEN confidence >= 75e-2 AND confidence - coalesce(next, 0e0) >= 15e-2 THEN 'detected' ELSE 'ambiguous' END AS status FROM ranked WHERE k = 1"
+    )
+
+
+# Front matter over pages (S3, A14, W18, W22, SC5)
+
+
+def _page_rows(d) -> str:
+    return (
+        f"WITH title AS (SELECT page_id, -1 AS pos, 'title' AS style, {d.extract('html', '<title>([^<]*)</title>', 1)} AS t FROM {d.table('pages')}), "
+        f"h1 AS (SELECT page_id, 0 AS pos, 'h1' AS style, {d.extract('html', '<h1>([^<]*)</h1>', 1)} AS t FROM {d.table('pages')}), "
+        f"li AS ({d.matches_all(d.table('pages'), 'page_id', 'html', '<li>(?:<a[^>]*>)?([^<]*)')}), "
+        "records AS (SELECT page_id, pos, style, t FROM title UNION ALL SELECT page_id, pos, style, t FROM h1 UNION ALL SELECT page_id, n + 1 AS pos, 'li' AS style, item AS t FROM li)"
+    )
+
+
+@plan
+def html_blocks(d):
+    return f"{_page_rows(d)} SELECT page_id, {n('pos', 'pos')}, style, {fn.strip(d, 't')} AS text FROM records WHERE t <> ''"
+
+
+def _title_scores(d) -> str:
+    return (
+        f"{_page_rows(d)}, cleaned AS (SELECT page_id, pos, style, {fn.strip(d, 't')} AS t FROM records), "
+        "scored AS (SELECT *, CASE WHEN style = 'title' THEN 100e0 ELSE 0e0 END + CASE WHEN length(t) BETWEEN 4 AND 60 THEN 12e0 ELSE 0e0 END + CASE WHEN style = 'h1' THEN 10e0 ELSE 0e0 END "
+        f"+ greatest(0e0, 8e0 - greatest(pos, 0) * 5e-1) AS score FROM cleaned WHERE t <> '' AND length(t) <= 100 AND NOT {d.matches('t', '[。；;]$')})"
+    )
+
+
+@plan
+def title_top1(d):
+    return f"{_title_scores(d)}, ranked AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pos) AS k FROM scored) SELECT page_id, t AS title, score FROM ranked WHERE k = 1 AND score >= 4e1"
+
+
+@plan
+def cover_score(d):
+    return f"{_title_scores(d)} SELECT page_id, {n('CASE WHEN max(score) >= 40 THEN 2 ELSE 0 END - CASE WHEN max(length(t)) > 90 THEN 3 ELSE 0 END', 'score')} FROM scored GROUP BY page_id"
+
+
+# Comparison of models
+
+
+def _signatures(d) -> str:
+    return b.blocks(d) + f", signed AS (SELECT doc_id, pos, block_type, t, {d.sha256('concat(block_type, chr(31), role, chr(31), coalesce(CAST(level AS VARCHAR(10)), ' + chr(39) * 2 + '), chr(31), t)')} AS signature FROM blocks)"
+
+
+@plan
+def model_diff(d):
+    return (
+        f"{b.blocks(d)}, raw_counts AS (SELECT doc_id, 'body' AS block_type, count(*) AS n FROM lines WHERE line <> '' GROUP BY doc_id), new_counts AS (SELECT doc_id, block_type, count(*) AS n FROM blocks GROUP BY doc_id, block_type) "
+        f"SELECT coalesce(a.doc_id, c.doc_id) AS doc_id, coalesce(a.block_type, c.block_type) AS block_type, {n('coalesce(a.n, 0)', 'source_n')}, {n('coalesce(c.n, 0)', 'final_n')}, {n('coalesce(c.n, 0) - coalesce(a.n, 0)', 'delta')} FROM raw_counts a FULL OUTER JOIN new_counts c ON a.doc_id = c.doc_id AND a.block_type = c.block_type"
+    )
+
+
+@plan
+def unmatched_ordinals(d):
+    return (
+        f"{b.blocks(d)}, m AS (SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id, t ORDER BY pos) AS k FROM blocks WHERE role = 'body'), r AS (SELECT doc_id, line AS t, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) AS k FROM lines) "
+        f"SELECT m.doc_id, {n('count(*)', 'n_model')}, {n('sum(CASE WHEN r.k IS NULL THEN 1 ELSE 0 END)', 'n_missing')} FROM m LEFT JOIN r ON r.doc_id = m.doc_id AND r.t = m.t AND r.k = m.k GROUP BY m.doc_id"
+    )
+
+
+@plan
+def unique_text_match(d):
+    return f"{b.blocks(d)} SELECT doc_id, t, {n('min(pos)', 'pos')} FROM blocks WHERE block_type = 'heading' GROUP BY doc_id, t HAVING count(*) = 1"
+
+
+@plan
+def fingerprint(d):
+    return f"{_signatures(d)} SELECT doc_id, {n('count(*)', 'n_blocks')}, {d.sha256(d.listed('signature', 'pos'))} AS fingerprint FROM signed GROUP BY doc_id"
+
+
+@plan
+def signature_diff(d):
+    return f"{_signatures(d)} SELECT a.doc_id, a.pos, a.signature FROM signed a WHERE a.block_type = 'heading' AND NOT EXISTS (SELECT 1 FROM signed c WHERE c.doc_id = a.doc_id AND c.signature = a.signature AND c.pos <> a.pos)"
+
+
+# Findings, scores and decisions (U2, A6, A7, V1, V7, PF25, PF26)
+
+
+def _findings(d) -> str:
+    return (
+        f"{b.neighbours(d)}, heads AS (SELECT doc_id, pos, level, lag(level) OVER (PARTITION BY doc_id ORDER BY pos) AS prev FROM blocks WHERE block_type = 'heading' AND level > 0), "
+        "findings AS (SELECT doc_id, pos, 'heading_jump' AS category, 'medium' AS severity FROM heads WHERE level > prev + 1 "
+        "UNION ALL SELECT doc_id, pos, 'first_below_one' AS category, 'high' AS severity FROM heads WHERE prev IS NULL AND level > 1 "
+        f"UNION ALL SELECT doc_id, pos, 'heading_manual_number' AS category, 'high' AS severity FROM blocks WHERE block_type = 'heading' AND {fn.residual_number(d, 't')} "
+        "UNION ALL SELECT doc_id, pos, 'list_manual_marker' AS category, 'medium' AS severity FROM blocks WHERE block_type = 'list_item' AND kind IS NOT NULL "
+        "UNION ALL SELECT doc_id, pos, 'caption_orphan' AS category, 'medium' AS severity FROM neighbours WHERE block_type = 'caption' AND coalesce(before, '') <> 'table' AND coalesce(after, '') <> 'table' "
+        "UNION ALL SELECT doc_id, pos, 'table_without_caption' AS category, 'low' AS severity FROM neighbours WHERE table_start AND coalesce(before, '') <> 'caption' "
+        "UNION ALL SELECT doc_id, pos, 'invariant:appendix_title_empty' AS category, 'critical' AS severity FROM blocks WHERE block_type = 'appendix' AND length(t) < 5)"
+    )
+
+
+@plan
+def findings_union(d):
+    return f"{_findings(d)} SELECT doc_id, pos, category, severity FROM findings"
+
+
+@plan
+def validate_model(d):
+    return f"{_findings(d)} SELECT category, severity, {n('count(*)', 'n')}, {n('count(DISTINCT doc_id)', 'n_docs')} FROM findings GROUP BY category, severity"
+
+
+def _scores(d) -> str:
+    one = lambda s: f"sum(CASE WHEN severity = '{s}' THEN 1 ELSE 0 END)"
+    return f"{_findings(d)}, scores AS (SELECT doc_id, sum(CASE WHEN category LIKE 'invariant:%' THEN 1 ELSE 0 END) AS invariant, {one('critical')} AS critical, {one('high')} AS high, {one('medium')} AS medium, {one('low')} AS low FROM findings GROUP BY doc_id)"
+
+
+@plan
+def audit_score(d):
+    return f"{_scores(d)} SELECT doc_id, {n('critical', 'critical')}, {n('high', 'high')}, {n('medium', 'medium')}, {n('low', 'low')}, {n('1000 * (critical + invariant) + 100 * high + 10 * medium + low', 'score')} FROM scores"
+
+
+@plan
+def accept_decision(d):
+    return (
+        f"{_scores(d)}, repaired AS (SELECT doc_id, invariant, critical, high, medium, low, 0 AS medium2 FROM scores) "
+        "SELECT doc_id, (medium2 < medium) AS accepted, CASE WHEN medium2 < medium THEN 'improved' ELSE 'no_strict_improvement' END AS reason FROM repaired"
+    )
+
+
+@plan
+def suspicion_score(d):
+    one = lambda c: f"sum(CASE WHEN {c} THEN 1 ELSE 0 END)"
+    body, short = "block_type = 'body'", "block_type = 'body' AND length(t) <= 30"
+    return (
+        f"{b.blocks(d)}, s AS (SELECT doc_id, count(*) AS total, greatest({one(body)}, 1) AS n_body, {one(short)} AS short_body, {one('kind IS NULL AND ' + d.matches('t', fn.UNORDERED))} AS unordered, "
+        f"{one('table_start')} AS n_table FROM blocks GROUP BY doc_id) "
+        "SELECT doc_id, round(2e-1 * least(greatest(short_body, unordered) / (1e0 * n_body), 1e0) + 1e-1 * least(n_table / (1e0 * total), 1e0), 4) AS score FROM s"
+    )
+
+
+@plan
+def content_warnings(d):
+    has = lambda p: f"max(CASE WHEN {d.matches('t', p)} THEN 1 ELSE 0 END)"
+    rules = [("toc", "^(目次|目录)$"), ("references", "引用文件|依据文件"), ("terms", "术语|缩略语"), ("formula", r"公式|^\(?[0-9]+\)?$"), ("appendix", "^附录|^（?(资料性|规范性)）?$"), ("figure_table_notes", "图.*注|注.*图|脚注")]
+    facts = ", ".join(f"{has(p)} AS has_{name}" for name, p in rules)
+    rows = " UNION ALL ".join(f"SELECT doc_id, '{name}' AS warning FROM facts WHERE has_{name} = 1" for name, _ in rules)
+    return f"{b.blocks(d)}, facts AS (SELECT doc_id, {facts} FROM blocks GROUP BY doc_id) {rows}"
+
+
+@plan
+def risk_warnings(d):
+    return (
+        f"{_scores(d)} SELECT doc_id, 'residual_markers' AS risk, {n('medium', 'n')} FROM scores WHERE medium >= 3 UNION ALL SELECT doc_id, 'manual_numbers' AS risk, {n('high', 'n')} FROM scores WHERE high >= 1 "
+        f"UNION ALL SELECT doc_id, 'invariants' AS risk, {n('invariant', 'n')} FROM scores WHERE invariant >= 1"
+    )
+
+
+@plan
+def model_summary(d):
+    return f"{b.blocks(d)} SELECT doc_id, {n('count(*)', 'blocks')}, {n('count(DISTINCT block_type)', 'types')}, {n('sum(CASE WHEN block_type = ' + chr(39) + 'heading' + chr(39) + ' THEN 1 ELSE 0 END)', 'headings')}, {n('ceil(sum(length(t)) / 4e0)', 'token_estimate')} FROM blocks GROUP BY doc_id"
+
+
+# Requests, responses and patches over events
+
+
+def _requests(d) -> str:
+    key = "concat(CAST(event_id AS VARCHAR(20)), '|', event_type, '|', CAST(user_id AS VARCHAR(20)))"
+    return (
+        f"WITH requests AS (SELECT event_id AS request_id, user_id AS doc_id, event_type AS operation, value, concat('sha256:', {d.sha256(key)}) AS input_hash FROM {d.table('events')} WHERE event_id % 2 = 0), "
+        f"responses AS (SELECT event_id - event_id % 2 AS request_id, event_id AS seq, CASE WHEN event_id % 7 = 0 THEN 'stale' ELSE 'ok' END AS claim, value FROM {d.table('events')} WHERE event_id % 2 = 1 AND event_id % 5 <> 0)"
+    )
+
+
+@plan
+def request_hash(d):
+    return f"{_requests(d)} SELECT request_id, input_hash FROM requests"
+
+
+@plan
+def response_status(d):
+    return f"{_requests(d)} SELECT q.request_id, CASE WHEN r.seq IS NULL THEN 'missing_response' WHEN r.claim = 'stale' THEN 'verification_error' ELSE 'ok' END AS status FROM requests q LEFT JOIN responses r ON r.request_id = q.request_id"
+
+
+@plan
+def batches(d):
+    return f"{_requests(d)} SELECT doc_id, request_id, {n('floor((row_number() OVER (PARTITION BY doc_id ORDER BY request_id) - 1) / 12e0)', 'batch')} FROM requests"
+
+
+@plan
+def validate_patch(d):
+    bad = "CASE WHEN q.request_id IS NULL THEN 'unknown_block' WHEN r.claim = 'stale' THEN 'stale_from' WHEN r.value < 10 THEN 'low_confidence' ELSE NULL END"
+    return f"{_requests(d)}, judged AS (SELECT r.seq, r.request_id, {bad} AS error FROM responses r LEFT JOIN requests q ON q.request_id = r.request_id) SELECT seq, request_id, error FROM judged WHERE error IS NOT NULL"
+
+
+@plan
+def apply_patch(d):
+    return f"{_requests(d)}, last_one AS (SELECT request_id, value, row_number() OVER (PARTITION BY request_id ORDER BY seq DESC) AS k FROM responses WHERE claim = 'ok') SELECT q.request_id, coalesce(r.value, q.value) AS value, (r.request_id IS NOT NULL) AS changed FROM requests q LEFT JOIN last_one r ON r.request_id = q.request_id AND r.k = 1"
+
+
+@plan
+def group_atomicity(d):
+    return f"{_requests(d)} SELECT q.doc_id, {n('count(*)', 'members')}, {n('count(r.seq)', 'covered')}, (count(*) = count(r.seq)) AS atomic FROM requests q LEFT JOIN responses r ON r.request_id = q.request_id GROUP BY q.doc_id"
+
+
+@plan
+def phase_deltas(d):
+    return f"{_requests(d)}, p AS (SELECT operation, doc_id % 4 AS phase, count(*) AS total FROM requests GROUP BY operation, doc_id % 4) SELECT operation, {n('phase', 'phase')}, {n('total - coalesce(lag(total) OVER (PARTITION BY operation ORDER BY phase), 0)', 'delta')} FROM p"
+
+
+# Orders that need what lies before (W10, W11): a fold in Spark, a recursion in the oracle
+
+
+@plan
+def level_fold(d):
+    """Levels clamped to one more than the clamped level before (W11), per physical group, first at 0."""
+    if isinstance(d, Spark):
+        return (
+            f"{b.deco_num(d)}, g AS (SELECT doc_id, gid, sort_array(collect_list(struct(pos, level))) AS xs FROM physical GROUP BY doc_id, gid) "
+            "SELECT doc_id, CAST(gid AS BIGINT) AS gid, CAST(e.pos AS BIGINT) AS pos, CAST(e.level AS BIGINT) AS level FROM (SELECT doc_id, gid, explode(aggregate(xs, CAST(array() AS array<struct<pos:int,level:int>>), "
+            "(acc, x) -> array_append(acc, named_struct('pos', x.pos, 'level', CASE WHEN size(acc) = 0 THEN 0 ELSE least(x.level, element_at(acc, -1).level + 1) END)))) AS e FROM g)"
+        )
+    return (
+        f"{b.deco_num(d).replace('WITH ', 'WITH RECURSIVE ', 1)}, o AS (SELECT doc_id, gid, pos, level, row_number() OVER (PARTITION BY doc_id, gid ORDER BY pos) AS k FROM physical), "
+        "f AS (SELECT doc_id, gid, pos, 0 AS level, k FROM o WHERE k = 1 UNION ALL SELECT o.doc_id, o.gid, o.pos, least(o.level, f.level + 1), o.k FROM f JOIN o ON o.doc_id = f.doc_id AND o.gid = f.gid AND o.k = f.k + 1) "
+        "SELECT doc_id, CAST(gid AS BIGINT) AS gid, CAST(pos AS BIGINT) AS pos, CAST(level AS BIGINT) AS level FROM f"
+    )
+
+
+def _runner(f: Callable) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.sql(f(Spark(sf_dir)))
+
+    run.__name__ = f.__name__
+    return run
+
+
+QUERIES = {name: _runner(f) for name, f in PLANS.items()}
+ORACLE_SQL = {name: f(Ansi()) for name, f in PLANS.items()}
