@@ -547,3 +547,21 @@ def _runner(f: Callable) -> Callable[[SparkSession, str], DataFrame]:
 
 QUERIES = {name: _runner(f) for name, f in PLANS.items()}
 ORACLE_SQL = {name: f(Ansi()) for name, f in PLANS.items()}
+
+
+def group_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The disjoint groups that a greedy choice takes (S2): sequential, so without an oracle."""
+    from docstrata.operators.sequential import select_disjoint_groups
+
+    scored = spark.sql(f"{b.body_groups(Spark(sf_dir))} SELECT doc_id, {n('run', 'run')}, {n('start_i', 'start_i')}, {n('end_i', 'end_i')}, {n('size', 'size')}, confidence FROM grouped WHERE confidence >= 65e-2")
+    return select_disjoint_groups(scored)
+
+
+def layout_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The indents that begin a level in each physical list group (W10): a fold, so without an oracle."""
+    from docstrata.operators.sequential import layout_levels
+
+    return layout_levels(spark.sql(f"{b.deco_num(Spark(sf_dir))} SELECT doc_id, gid AS run, left_twips FROM physical"))
+
+
+QUERIES |= {"group_select": group_select, "layout_clusters": layout_clusters}
