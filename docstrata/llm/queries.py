@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docstrata.llm.common import read, text_of
+from docstrata.llm.oracles import ORACLE_SQL  # noqa: F401
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,4 +114,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_jaccard_join, op7_license_scan, op8_line_dedup, op9_token_counts, op10_secret_scan,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
