@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docstrata.functions import text as fn
 from docstrata.operators import blocks as b
+from docstrata.plans import audits
 from docstrata.plans.dialect import Ansi, Spark
 
 PLANS: dict[str, Callable] = {}
@@ -545,6 +546,7 @@ def _runner(f: Callable) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+PLANS |= audits.PLANS
 QUERIES = {name: _runner(f) for name, f in PLANS.items()}
 ORACLE_SQL = {name: f(Ansi()) for name, f in PLANS.items()}
 
