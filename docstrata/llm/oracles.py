@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+from docstrata.llm.licenses import PHRASES, TEMPLATES, _template_words
 from docstrata.llm.quality import RULES, STOP_WORDS
 
 _LINES = (
@@ -49,4 +52,38 @@ def quality_rules() -> str:
     )
 
 
-ORACLE_SQL = {"op4_quality_rules": quality_rules(), "op8_line_dedup": line_dedup()}
+def license_scan(threshold: float = 0.9) -> str:
+    """Places by comparing neighbouring words, notices by intersecting each line with each template."""
+    gap = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    split = lambda x: f"list_filter(regexp_split_to_array(translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{gap}'), lambda x: x <> '')"
+    words = {label: _template_words(text) for label, text in TEMPLATES.items()}
+    templates = " UNION ALL ".join(f"SELECT '{k}' AS label, {math.ceil(threshold * len(v) - 1e-9)} AS need, {v!r} AS ws" for k, v in words.items())
+    at = []
+    for phrase, label in PHRASES:
+        same = " AND ".join(f"lead(word, {k}) OVER o = '{w}'" if k else f"word = '{w}'" for k, w in enumerate(phrase.split()))
+        at.append(f"WHEN {same} THEN '{label}'")
+    return (
+        f"WITH docs AS (SELECT doc_id, {split("coalesce(text, '')")} AS ws FROM documents), w AS (SELECT doc_id, unnest(range(len(ws))) AS i, unnest(ws) AS word FROM docs), "
+        f"p AS (SELECT doc_id, i, CASE {' '.join(at)} END AS label FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)), "
+        "base AS (SELECT doc_id, count(*) AS n, min(i) AS a, max(i) AS z, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM p WHERE label IS NOT NULL GROUP BY doc_id), "
+        f"t AS ({templates}), l AS (SELECT doc_id, list_distinct({split('line')}) AS ws FROM ({_LINES}) q), "
+        "h AS (SELECT doc_id, label, len(list_intersect(t.ws, l.ws)) / len(t.ws) AS score FROM l JOIN t ON len(list_intersect(t.ws, l.ws)) >= t.need), "
+        "every AS (SELECT doc_id, label FROM p WHERE label IS NOT NULL UNION SELECT doc_id, label FROM h), told AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM every GROUP BY doc_id), best AS (SELECT doc_id, max(score) AS score FROM h GROUP BY doc_id) "
+        "SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(b.n, 0) AS BIGINT) AS n_base, CAST(b.a AS BIGINT) AS first_word, CAST(b.z AS BIGINT) AS last_word, coalesce(b.labels, '') AS base_labels, "
+        "coalesce(e.labels, '') AS labels, CASE WHEN b.n > 0 THEN CAST(1 AS DOUBLE) ELSE CAST(coalesce(s.score, 0) AS DOUBLE) END AS score "
+        "FROM docs d LEFT JOIN base b USING (doc_id) LEFT JOIN told e USING (doc_id) LEFT JOIN best s USING (doc_id)"
+    )
+
+
+def embedding_near_dedup() -> str:
+    dot = lambda x, y: f"list_dot_product({x}, {y})"
+    return (
+        "WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL), "
+        f"links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE {dot('a.e', 'b.e')} / sqrt({dot('a.e', 'a.e')} * {dot('b.e', 'b.e')}) >= 0.98), "
+        "reach AS (SELECT vec_id AS n, vec_id AS r FROM embeddings UNION SELECT l.b AS n, x.r FROM reach x JOIN links l ON l.a = x.n), "
+        "low AS (SELECT n, min(r) AS component_id FROM reach GROUP BY n), degree AS (SELECT a, count(*) AS n_links FROM links GROUP BY a) "
+        "SELECT low.n AS vec_id, CAST(coalesce(degree.n_links, 0) AS BIGINT) AS n_links, low.component_id, (low.component_id = low.n) AS kept FROM low LEFT JOIN degree ON degree.a = low.n"
+    )
+
+
+ORACLE_SQL = {"op3_embedding_near_dedup": embedding_near_dedup(), "op7_license_scan": license_scan(), "op4_quality_rules": quality_rules(), "op8_line_dedup": line_dedup()}
