@@ -136,11 +136,11 @@ def template_roles(d):
 
 
 def prompt_texts(d):
-    """Caption targets in batches of 15 with their texts, cut to 12,000 characters."""
+    """Caption targets in batches of 15 with their texts, cut to 12,000 characters, 40 % of them from the head."""
     return (
         f"{b.blocks(d)}, c AS (SELECT doc_id, pos, t, floor((row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1) / 15e0) AS batch FROM blocks WHERE block_type IN ('caption', 'heading')), "
         f"p AS (SELECT doc_id, batch, count(*) AS members, {d.listed('substring(t, 1, 120)', 'pos')} AS body FROM c GROUP BY doc_id, batch) "
-        f"SELECT doc_id, {n('batch', 'batch')}, {n('members', 'members')}, substring(body, 1, 12000) AS prompt, concat('sha256:', {d.sha256('body')}) AS input_hash, {n('ceil(length(body) / 4e0)', 'tokens')} FROM p"
+        f"SELECT doc_id, {n('batch', 'batch')}, {n('members', 'members')}, CASE WHEN length(body) <= 12000 THEN body ELSE concat(substring(body, 1, 4800), right(body, 7200)) END AS prompt, concat('sha256:', {d.sha256('body')}) AS input_hash, {n('ceil(length(body) / 4e0)', 'tokens')} FROM p"
     )
 
 
