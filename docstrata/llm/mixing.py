@@ -132,7 +132,8 @@ def mix(
         .groupBy(*LEVELS, "bucket")
         .agg(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("h"))).alias("last"))
     )
-    floor = F.shiftleft(F.col("bucket"), 64 - (BUCKETS - 1).bit_length()) - 1  # all smaller buckets
+    # All smaller buckets; the first has none, and its lower border less one is no long.
+    floor = F.when(F.col("bucket") > -BUCKETS // 2, F.shiftleft(F.col("bucket"), 64 - (BUCKETS - 1).bit_length()) - 1)
     cuts = planned.join(last, LEVELS, "left").select(
         *LEVELS, "epochs", F.when(F.col("bucket").isNotNull(), F.coalesce("last", floor)).alias("cut"), (F.col("rest") > 0).alias("partial")
     )

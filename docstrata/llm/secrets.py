@@ -10,7 +10,9 @@ little there; a random key costs nearly all its bytes, and is reported.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -61,9 +63,11 @@ class Scanner:
         return (size(f"{before}{after}{candidate}") - size(f"{before}{after}")) / len(candidate)
 
     def novel(self, text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """Candidates on sensitive lines, outside known spans, that nothing around them explains."""
+        """Candidates on sensitive lines, outside the known spans (sorted), that nothing around them explains."""
         out = []
         done = -1
+        begins = [s for s, _, _ in known]
+        reach = list(accumulate((e for _, e, _ in known), max))  # the furthest end of a span and those before it
         for word in SENSITIVE.finditer(text):
             if word.start() < done:
                 continue
@@ -75,7 +79,8 @@ class Scanner:
                 piece = m[0]
                 if not (any(c.isdigit() for c in piece) and any(c.isalpha() for c in piece)):
                     continue
-                if any(s < b and a < e for s, e, _ in known):
+                upto = bisect_left(begins, b)
+                if upto and reach[upto - 1] > a:
                     continue
                 if self.marginal(text[max(0, a - SURROUNDINGS) : a], piece, text[b : b + SURROUNDINGS]) >= self.novelty:
                     out.append((a, b, 3))

@@ -245,6 +245,27 @@ def test_op2_shares_follow_weights_and_capacity(spark):
     assert sorted(map(str, taken.collect())) == sorted(map(str, again.collect()))
 
 
+def test_op2_prefix_that_ends_in_the_first_bucket(spark):
+    from docstrata.llm.mixing import BUCKETS, mix
+
+    # One document whose hash lies in the least bucket, and does not fit: nothing is taken.
+    ids = spark.range(200_000).select("id", F.xxhash64(F.lit(42), F.lit(0).cast("long"), "id").alias("h"))
+    one = ids.where(F.shiftright("h", 64 - (BUCKETS - 1).bit_length()) == -BUCKETS // 2).first()["id"]
+    docs = spark.createDataFrame([(one, "w " * 10, "en", "src0")], "doc_id long, text string, lang string, source string")
+    assert mix(docs, budget=5).collect() == []
+
+
+def test_novelty_leaves_known_spans_alone():
+    scanner = Scanner()
+    text = "secret q7Zr9XkP2mVt8LwYb4Nc6Hs1 private W3dJ5fGz8RnB1xTq6KvC9yLm"
+    first, second = text.index("q7"), text.index("W3")
+    spans = [(first, first + 24, 3), (second, second + 24, 3)]
+    assert scanner.novel(text, []) == spans
+    assert scanner.novel(text, [(0, first + 2, 0), (1, 3, 2)]) == spans[1:]
+    assert scanner.novel(text, [(0, first, 0), (first + 24, second, 2)]) == spans
+    assert scanner.novel(text, [(0, len(text), 0), (1, 3, 2)]) == []
+
+
 def test_op1_agrees_with_text_and_markup(spark, folder, tmp_path):
     labelled = spark.createDataFrame([("the of and is not that with for", "en"), ("der die das und ist nicht mit für", "de"), (None, "en"), ("x", None)], "text string, lang string")
     from docstrata.llm.langid import identify
