@@ -439,14 +439,46 @@ def accept_decision(d):
     )
 
 
-@plan
-def suspicion_score(d):
+def _suspicion(d) -> str:
     one = lambda c: f"sum(CASE WHEN {c} THEN 1 ELSE 0 END)"
     body, short = "block_type = 'body'", "block_type = 'body' AND length(t) <= 30"
     return (
         f"{b.blocks(d)}, s AS (SELECT doc_id, count(*) AS total, greatest({one(body)}, 1) AS n_body, {one(short)} AS short_body, {one('kind IS NULL AND ' + d.matches('t', fn.UNORDERED))} AS unordered, "
-        f"{one('table_start')} AS n_table FROM blocks GROUP BY doc_id) "
-        "SELECT doc_id, round(2e-1 * least(greatest(short_body, unordered) / (1e0 * n_body), 1e0) + 1e-1 * least(n_table / (1e0 * total), 1e0), 4) AS score FROM s"
+        f"{one('table_start')} AS n_table FROM blocks GROUP BY doc_id), "
+        "suspicion AS (SELECT doc_id, total, round(2e-1 * least(greatest(short_body, unordered) / (1e0 * n_body), 1e0) + 1e-1 * least(n_table / (1e0 * total), 1e0), 4) AS score FROM s)"
+    )
+
+
+@plan
+def suspicion_score(d):
+    return f"{_suspicion(d)} SELECT doc_id, score FROM suspicion"
+
+
+@plan
+def auto_gate_lists(d):
+    """Whether the list phase runs by itself (PF27): five blocks or more, with a template, and a suspicion of 0.15."""
+    return f"{_suspicion(d)} SELECT doc_id, score, (total >= 5 AND score >= 15e-2) AS runs FROM suspicion"
+
+
+@plan
+def auto_gate_toc(d):
+    """Documents whose table of contents is reviewed by itself (PF27): those where the choice is ambiguous."""
+    return f"SELECT x.doc_id, (c.status IS NOT NULL AND c.status = 'ambiguous') AS runs FROM (SELECT DISTINCT doc_id FROM {d.table('documents')}) x LEFT JOIN ({toc_select(d)}) c ON c.doc_id = x.doc_id"
+
+
+@plan
+def mode_gates(d):
+    """The phases that each mode given by hand runs (PF27): its letters, or those of its name; abc means ab."""
+    # The names of modes, each with its letters.
+    names = {"toc_region_review": "s", "list_detect": "a", "caption_gen": "b", "document_review": "c", "all": "sabc"}
+    letters = ["".join(c for k, c in enumerate("sabc") if bits >> k & 1) for bits in range(1, 16)]
+    given = ["off", "unknown", "ba", *names, *letters, *(f"force-{x}" for x in letters)]
+    modes = " UNION ALL ".join(f"SELECT '{m}' AS mode" for m in given)
+    told = " UNION ALL ".join(f"SELECT mode, '{x}' AS phase, (letters LIKE '%{x.lower()}%') AS runs FROM known" for x in "SABC")
+    named = " ".join(f"WHEN '{m}' THEN '{x}'" for m, x in names.items())
+    return (
+        f"WITH modes AS ({modes}), spelt AS (SELECT mode, {d.replace(f'CASE mode {named} ELSE mode END', '^force-')} AS letters FROM modes), "
+        f"known AS (SELECT mode, CASE WHEN letters = 'abc' THEN 'ab' WHEN {d.matches('letters', '^s?a?b?c?$')} THEN letters ELSE '' END AS letters FROM spelt) {told}"
     )
 
 
