@@ -163,10 +163,34 @@ def review_validation(d):
     )
 
 
+def _decided(d) -> str:
+    """Blocks with idx, their place from 0 among all, and decisions that were applied to them, simulated from events."""
+    return (
+        f"{b.blocks(d)}, placed AS (SELECT doc_id, pos, block_type, level, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS idx FROM blocks), "
+        "applied AS (SELECT user_id AS doc_id, event_id % 40 AS pos, event_id AS nth, CASE event_id % 3 WHEN 0 THEN 'adjust_level' ELSE 'retype' END AS op, "
+        "CASE event_id % 5 WHEN 0 THEN 'heading' WHEN 1 THEN 'list_item' WHEN 2 THEN 'caption' ELSE 'body' END AS to_type, "
+        f"CASE WHEN event_id % 7 < 4 THEN 'body' ELSE 'list_item' END AS from_type FROM {d.table('events')})"
+    )
+
+
+def level_overrides(d):
+    """Levels of headings that a decision levelled or made headings, by place (M8, J18): a semi join."""
+    return f"{_decided(d)} SELECT doc_id, {n('idx', 'idx')}, {n('level', 'level')} FROM placed p WHERE block_type = 'heading' AND EXISTS (SELECT 1 FROM applied x WHERE x.doc_id = p.doc_id AND x.pos = p.pos AND (x.op = 'adjust_level' OR x.to_type = 'heading'))"
+
+
+def role_overrides(d):
+    """The type that the last decision to change one gave a block, by place."""
+    return (
+        f"{_decided(d)}, last AS (SELECT doc_id, pos, to_type, row_number() OVER (PARTITION BY doc_id, pos ORDER BY nth DESC) AS k FROM applied WHERE op = 'retype' AND to_type <> from_type) "
+        f"SELECT p.doc_id, {n('p.idx', 'idx')}, x.to_type AS role FROM placed p JOIN last x ON x.doc_id = p.doc_id AND x.pos = p.pos WHERE x.k = 1"
+    )
+
+
 PLANS = {
     f.__name__: f
     for f in (
         repairs, repair_counts, style_usage, style_roles, note_preservation, list_preservation, caption_counts, origin_counts, output_structure, residue,
         appendix_header_merge, excluded_positions, title_injection, caption_placement, template_roles, prompt_texts, report_rows, review_validation,
+        level_overrides, role_overrides,
     )
 }
