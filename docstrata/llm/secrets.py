@@ -4,7 +4,8 @@ Besides strings of known shape the scan reports strings that nothing around them
 A candidate is a long run of key characters on a line that speaks of credentials. Its
 marginal size is the compressed size of the surroundings with it, less without it, under a
 zstandard dictionary of common code and identifiers. Prose, paths and identifiers cost
-little there; a random key costs nearly all its bytes, and is reported.
+little there; a random key costs nearly all its bytes, and is reported. Copies of a candidate,
+whole or in part, are blanked in its surroundings first: a key does not explain itself.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "novel")
 
 #: What a candidate looks like, and the words that make its line sensitive.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 SENSITIVE = re.compile(r"(?ai)password|passwd|pwd|secret|token|api_?key|credential|private|bearer|authorization|auth_|access_?key")
 DICTIONARY = (
     "import from return class function def public static void private protected const var let string int "
@@ -44,6 +46,19 @@ SURROUNDINGS = 400  # code points on either side of a candidate that prime the m
 NOVELTY = 0.72  # marginal compressed bytes for each byte of the candidate
 
 
+def without_copies(text: str, piece: str) -> str:
+    """text with blanks for every run of LEAST characters or more that piece holds too."""
+    grams = {text[i : i + LEAST] for m in CANDIDATE.finditer(text) for i in range(m.start(), m.end() - LEAST + 1)}
+    if not grams:
+        return text
+    held = {g for i in range(len(piece) - LEAST + 1) if (g := piece[i : i + LEAST]) in grams}
+    out = list(text)
+    for i in range(len(text) - LEAST + 1):
+        if text[i : i + LEAST] in held:
+            out[i : i + LEAST] = " " * LEAST
+    return "".join(out)
+
+
 class Scanner:
     def __init__(self, novelty: float = NOVELTY):
         self.novelty = novelty
@@ -76,13 +91,13 @@ class Scanner:
             done = hi = len(text) if hi < 0 else hi
             for m in CANDIDATE.finditer(text, lo, hi):
                 a, b = m.span()
-                piece = m[0]
-                if not (any(c.isdigit() for c in piece) and any(c.isalpha() for c in piece)):
-                    continue
                 upto = bisect_left(begins, b)
                 if upto and reach[upto - 1] > a:
                     continue
-                if self.marginal(text[max(0, a - SURROUNDINGS) : a], piece, text[b : b + SURROUNDINGS]) >= self.novelty:
+                # A little more than is measured, so that a copy across the border is seen.
+                before = without_copies(text[max(0, a - SURROUNDINGS - LEAST) : a], m[0])[-SURROUNDINGS:]
+                after = without_copies(text[b : b + SURROUNDINGS + LEAST], m[0])[:SURROUNDINGS]
+                if self.marginal(before, m[0], after) >= self.novelty:
                     out.append((a, b, 3))
         return out
 

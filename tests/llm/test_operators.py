@@ -266,6 +266,23 @@ def test_novelty_leaves_known_spans_alone():
     assert scanner.novel(text, [(0, len(text), 0), (1, 3, 2)]) == []
 
 
+def test_novelty_reports_each_copy_of_a_key():
+    scanner, key, filler = Scanner(), "q7Zr9XkP2mVt8LwYb4Nc6Hs1", "\nplain words stand between the two lines\n"
+    for x, y in ((key, key), (f"dev_{key}", f"prod_{key}"), (f"access_key={key}", f"bearer/{key}")):
+        text = f"private {x}{filler}private {y}"
+        assert [text[a:b] for a, b, _ in scanner.novel(text, [])] == [x, y]
+    # The second copy starts within the measured surroundings of the first and ends beyond.
+    text = f"private {key}\n{'word ' * 76}private {key}"
+    assert [text[a:b] for a, b, _ in scanner.novel(text, [])] == [key, key]
+
+
+def test_novelty_judges_keys_without_digits_by_size():
+    rng = random.Random(4)
+    keys = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(24)) for _ in range(20)]
+    assert all(len(Scanner().novel(f"the private key {k} is here", [])) == 1 for k in keys)
+    assert Scanner().novel("the private configuration_connection is documented", []) == []
+
+
 def test_op1_agrees_with_text_and_markup(spark, folder, tmp_path):
     labelled = spark.createDataFrame([("the of and is not that with for", "en"), ("der die das und ist nicht mit für", "de"), (None, "en"), ("x", None)], "text string, lang string")
     from docstrata.llm.langid import identify
