@@ -1,14 +1,20 @@
 """License scan: an exact set-similarity join of text blocks with notice templates.
 
-DataFrame functions only. A block is a line, taken as its set of words. A template is
-found in a block that contains at least a threshold share of the template's words:
-|B and T| >= c with c = ceil(threshold * |T|). The template words are ordered by their
-frequency in the whole corpus, rarest first. Three filters spare the intersections:
+DataFrame functions only. A block is a line, or a window of consecutive words of the whole
+text wherever its lines break, taken as its set of words. A template of n words is sought in
+windows of n / threshold words. It is found in a block that contains at least a threshold
+share of its distinct words: |B and T| >= c with c = ceil(threshold * |T|). The template
+words are ordered by their frequency in the whole corpus, rarest first. Three filters spare
+the intersections:
 
 - prefix: a block must hold one of the |T| - c + 1 rarest words of T;
 - length: it must have c words or more;
 - position: with its first common word at place p of T, at most |T| - p words are common.
 
+The words of a text are laid out in tiles that overlap by the longest window, so each window
+lies in a tile, and the tiles hold a text twice. The filters are asked of the tile; only a
+tile that passes them has its windows measured.
+
 The templates are a parameter of bounded size; their index is broadcast. Blocks that
 survive the prefix filter are the only rows that are shuffled, and no text is.
 """
@@ -55,7 +61,7 @@ def _words(text: Column) -> Column:
 def _template_words(text: str) -> list[str]:
     import re
 
-    return sorted({w for w in re.split(GAP, text.translate(str.maketrans(UPPER, LOWER))) if w})
+    return [w for w in re.split(GAP, text.translate(str.maketrans(UPPER, LOWER))) if w]
 
 
 def _places(words: Column, phrase: str) -> dict[str, Column]:
@@ -98,7 +104,8 @@ def phrase_places(docs: DataFrame, phrases=None) -> DataFrame:
 def template_index(docs: DataFrame, templates: dict[str, str], threshold: float) -> list[dict]:
     """The templates with their words rarest first, by document frequency over all of docs."""
     assert len(templates) <= MAX_TEMPLATES, "the template index is broadcast"
-    words = {label: _template_words(text) for label, text in templates.items()}
+    said = {label: _template_words(text) for label, text in templates.items()}
+    words = {label: sorted(set(ws)) for label, ws in said.items()}
     vocabulary = sorted({w for ws in words.values() for w in ws})
     held = F.array_distinct(F.filter(F.split(_words(text_of()), " "), lambda w: w.isin(vocabulary)))
     counts = {r["w"]: r["n"] for r in docs.select(F.explode(held).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
@@ -106,35 +113,46 @@ def template_index(docs: DataFrame, templates: dict[str, str], threshold: float)
     for label, own in words.items():
         ordered = sorted(own, key=lambda w: (counts.get(w, 0), w))
         need = math.ceil(threshold * len(ordered) - 1e-9)
-        index.append({"label": label, "words": ordered, "need": need, "prefix": ordered[: len(ordered) - need + 1]})
+        window = max(len(said[label]), math.floor(len(said[label]) / threshold + 1e-9))
+        index.append({"label": label, "words": ordered, "need": need, "prefix": ordered[: len(ordered) - need + 1], "window": window})
     return index
 
 
 def containments(docs: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
-    """(doc_id, text_key, block, label, score) of every line that contains a template to the threshold."""
+    """(doc_id, text_key, label, score) of every line, and of every tile with a window, that contains a template to the threshold."""
     spark = docs.sparkSession
     index = template_index(docs, templates, threshold)
-    entries = [(t["label"], w, place, t["need"], len(t["words"]), t["words"]) for t in index for place, w in enumerate(t["prefix"])]
-    postings = spark.createDataFrame(entries, "label string, word string, place int, need int, size int, template array<string>")
+    entries = [(t["label"], w, place, t["need"], len(t["words"]), t["window"], t["words"]) for t in index for place, w in enumerate(t["prefix"])]
+    postings = spark.createDataFrame(entries, "label string, word string, place int, need int, size int, window int, template array<string>")
     prefix = sorted({w for t in index for w in t["prefix"]})
     least = min(t["need"] for t in index)
+    step = max(t["window"] for t in index)
+    key = ["doc_id", F.xxhash64("text").alias("text_key")]
+    lines = docs.select(*key, F.explode(F.split("text", "\n")).alias("line")).select("doc_id", "text_key", F.split(_words(F.col("line")), " ").alias("words"), F.lit(False).alias("tiled"))
+    whole = docs.where(F.contains("text", F.lit("\n"))).select(*key, F.split(F.btrim(_words(F.col("text"))), " ").alias("all_"))
+    tiles = whole.select(
+        "doc_id", "text_key", F.explode(F.transform(F.sequence(F.lit(1), F.size("all_"), F.lit(step)), lambda i: F.slice("all_", i, 2 * step))).alias("words"), F.lit(True).alias("tiled")
+    )
     blocks = (
-        docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("block", "line"))
-        .select("doc_id", "text_key", "block", F.split(_words(F.col("line")), " ").alias("words"))
+        lines.unionByName(tiles)
         .where(F.exists("words", lambda w: w.isin(prefix)))
-        .select("doc_id", "text_key", "block", F.array_remove(F.array_distinct("words"), "").alias("words"))
+        .select("doc_id", "text_key", "tiled", F.array_remove("words", "").alias("row_"), F.array_remove(F.array_distinct("words"), "").alias("words"))
         .where(F.size("words") >= least)
     )
     keyed = blocks.withColumn("word", F.explode(F.filter("words", lambda w: w.isin(prefix))))
     pairs = keyed.join(F.broadcast(postings), "word").where((F.size("words") >= F.col("need")) & (F.col("size") - F.col("place") >= F.col("need")))
-    common = F.size(F.array_intersect("template", "words"))
+    common = lambda words: F.size(F.array_intersect("template", words))
     # A pair is met once for each prefix word it shares; only the rarest of them verifies it.
     rarest = F.size(F.array_intersect(F.slice("template", 1, F.col("place")), F.col("words"))) == 0
+    starts = F.sequence(F.lit(1), F.greatest(F.size("row_") - F.col("window") + 1, F.lit(1)))
+    best = F.array_max(F.transform(starts, lambda i: common(F.slice("row_", i, F.col("window")))))
     return (
         pairs.where(rarest)
-        .withColumn("common", common)
+        .withColumn("common", common("words"))
+        .where(F.col("common") >= F.col("need"))
+        .withColumn("common", F.when(F.col("tiled"), best).otherwise(F.col("common")))
         .where(F.col("common") >= F.col("need"))
-        .select("doc_id", "text_key", "block", "label", (F.col("common") / F.col("size")).alias("score"))
+        .select("doc_id", "text_key", "label", (F.col("common") / F.col("size")).alias("score"))
     )
 
 
@@ -143,7 +161,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, thres
 
     n_base counts the places where the words of a base phrase follow each other, first_word
     and last_word are their least and greatest start. labels adds the templates that a line
-    of the text contains to the threshold; score is 1 where a base phrase stands, else the
+    or a window of the text's words contains to the threshold; score is 1 where a base phrase stands, else the
     largest containment, else 0. A null text is empty; a null doc_id is returned as null;
     repeated rows get the same answer; other columns are not read; long texts are scanned
     whole; an empty table gives an empty result.

@@ -128,6 +128,25 @@ def test_op7_adds_the_notice_a_line_contains(spark):
     assert got == {1: ("notice-cc-by-nc-4.0", 1.0), 2: ("", 0.0), 3: ("", 0.0)}
 
 
+def test_op7_finds_notices_wrapped_over_lines(spark):
+    from docstrata.llm.licenses import TEMPLATES, license_scan
+
+    rng = random.Random(6)
+    filler = lambda n: [f"f{rng.randrange(10**6)}" for _ in range(n)]
+    docs, want = [], {}
+    for label, notice in TEMPLATES.items():
+        words = notice.split()
+        for at in range(1, len(words)):  # at every break, and at any place of a tile
+            text = " ".join([*filler(rng.randrange(90)), *words[:at]]) + "\n * " + " ".join([*words[at:], *filler(rng.randrange(90))])
+            want[len(docs)] = label
+            docs.append((len(docs), text))
+    got = {r.doc_id: r for r in license_scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(want[i] in got[i].labels.split(",") and got[i].score >= 0.9 for i in want)
+    # The words of a notice scattered over lines are no notice.
+    apart = "\n".join(f"{w} " + " ".join(filler(4)) for w in TEMPLATES["notice-isc"].split())
+    assert license_scan(spark.createDataFrame([(1, apart)], "doc_id long, text string")).first().labels == ""
+
+
 def _key(line):
     return line.strip(BLANK).translate(UP)
 
