@@ -4,12 +4,16 @@ A domain - language - source tree gets a token budget. Each node hands its budge
 children in proportion to their weights, none more than it can give (its supply times the
 epochs allowed); what a child cannot take goes to its siblings, and only what a whole
 subtree cannot take goes to the siblings of its parent. A leaf with budget b and supply s
-repeats b div s whole epochs and takes the prefix of b mod s tokens of one more, in an order
-seeded anew for each epoch.
-
-The tree is a small aggregate of the documents and stays distributed. A prefix is found
-without sorting a leaf: token sums of hash buckets locate the bucket where it ends, only
-that bucket is ordered, and its last hash becomes the cut for the whole leaf.
+repeats b div s whole epochs and takes documents of one more for b mod s tokens, in an order
+seeded anew for each epoch. A document that does not fit what is left is passed over and the
+next that fit are taken. What no document of the leaf fits goes to its siblings, documents
+that still fit in the same order, then to those of its parent, and at last to all.
+
+The tree is a small aggregate of the documents and stays distributed. A stretch that fits is
+found without sorting a leaf: token sums of hash buckets locate the bucket where it ends, and
+only that bucket is ordered. The next stretch starts behind the document that did not fit,
+among those no longer than what is left. What is taken is known from the stretches: a small
+table of hash intervals for each node.
 """
 
 from __future__ import annotations
@@ -86,6 +90,54 @@ def leaf_budgets(leaves: DataFrame, weights, budget: int | None, share: float, m
     )
 
 
+def _stretches(able: DataFrame, nodes: DataFrame, names: list[str]) -> DataFrame | None:
+    """(names, low, stop, most) of the stretches that fill the nodes (names, rest), None without any.
+
+    able has names, h and n_tokens. A row is taken where low < h < stop (null: no border) and
+    n_tokens <= most. Rows of equal h stand or fall together. Each round ends a node or passes a row.
+    """
+    shift = 64 - (BUCKETS - 1).bit_length()
+    found = None
+    left = nodes.where("rest > 0").select(*names, F.col("rest").alias("most"), F.lit(None).cast("long").alias("low"))
+    while True:
+        fits = able.join(left, names).where((F.col("n_tokens") <= F.col("most")) & (F.col("low").isNull() | (F.col("h") > F.col("low"))))
+        sums = materialize(
+            fits.withColumn("bucket", F.shiftright("h", shift)).groupBy(*names, "bucket").agg(F.sum("n_tokens").alias("n"), F.max("most").alias("most"), F.max("low").alias("low")), "sums"
+        )
+        if sums.isEmpty():
+            return found
+        running = sums.withColumn("before", F.sum("n").over(Window.partitionBy(*names).orderBy("bucket")) - F.col("n"))
+        ending = running.where((F.col("before") <= F.col("most")) & (F.col("before") + F.col("n") > F.col("most"))).select(*names, "bucket", "before")
+        ending = materialize(ending, "ending")
+        inside = Window.partitionBy(*names, "bucket").orderBy("h")  # equal hashes count together
+        stops = (
+            fits.withColumn("bucket", F.shiftright("h", shift))
+            .join(ending, [*names, "bucket"])
+            .withColumn("upto", F.col("before") + F.sum("n_tokens").over(inside))
+            .groupBy(*names)
+            .agg(
+                F.min(F.when(F.col("upto") > F.col("most"), F.col("h"))).alias("stop"),
+                F.coalesce(F.max(F.when(F.col("upto") <= F.col("most"), F.col("upto"))), F.first("before")).alias("used"),
+            )
+        )
+        total = sums.groupBy(*names).agg(F.sum("n").alias("all"), F.max("most").alias("most"), F.max("low").alias("low"))
+        made = materialize(total.join(stops, names, "left").select(*names, "low", "stop", "most", F.coalesce("used", "all").alias("used")), "stretches")
+        found = made if found is None else found.unionByName(made)
+        left = made.where("stop is not null and used < most").select(*names, (F.col("most") - F.col("used")).alias("most"), F.col("stop").alias("low"))
+
+
+def _marked(rows: DataFrame, found: DataFrame | None, names: list[str]) -> DataFrame:
+    """rows with more, true for those that a stretch takes, and as it was for others."""
+    if found is None:
+        return rows
+    taken = found.groupBy(*names).agg(F.collect_list(F.struct("low", "stop", "most")).alias("taken_"))
+    inside = lambda x: (
+        (x["low"].isNull() | (F.col("h") > x["low"])) & (x["stop"].isNull() | (F.col("h") < x["stop"])) & (F.col("n_tokens") <= x["most"])
+    )
+    hit = F.coalesce(F.exists("taken_", inside), F.lit(False))
+    return rows.join(taken, names, "left").withColumn("more", F.col("more") | (F.col("spare") & hit)).drop("taken_")
+
+
 def mix(
     docs: DataFrame,
     weights: dict[str, dict[str, float]] = WEIGHTS,
@@ -101,8 +153,8 @@ def mix(
 
     Columns: doc_id, domain, lang, source, n_tokens and epoch, from 0 (and those of keep).
     budget is in tokens, by default share of all. In a partial epoch the rows of a leaf are
-    taken in seeded order while their tokens fit what is left, and the first that does not
-    fit ends the prefix; rows that tie in the order (repeated rows) stand or fall together.
+    taken in seeded order where their tokens fit what is left; what stays unfilled goes to
+    siblings. Rows that tie in the order (repeated rows) stand or fall together.
     Null names are nodes called (null); a null text has no tokens; a null doc_id is ordered
     by its seed alone. An empty table gives an empty result.
     """
@@ -118,29 +170,27 @@ def mix(
     leaves = counted.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("supply"))
     planned = materialize(leaf_budgets(materialize(leaves, "leaves"), weights, budget, share, max_epochs), "budgets")
 
+    # The whole table is one more node above the domains.
     order = F.xxhash64(F.lit(seed), F.col("epochs"), F.col("doc_id"))
-    spread = counted.join(planned, LEVELS).withColumn("h", order)
-    spread = spread.withColumn("bucket", F.shiftright("h", 64 - (BUCKETS - 1).bit_length()))
-    sums = spread.groupBy(*LEVELS, "rest", "bucket").agg(F.sum("n_tokens").alias("n"))
-    running = sums.withColumn("before", F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("bucket")) - F.col("n"))
-    ending = running.where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("n") > F.col("rest"))).select(*LEVELS, "bucket", "before")
-    ending = materialize(ending, "ending")
-    inside = Window.partitionBy(*LEVELS, "bucket").orderBy("h")  # equal hashes count together
-    last = (
-        spread.join(ending, [*LEVELS, "bucket"])
-        .withColumn("upto", F.col("before") + F.sum("n_tokens").over(inside))
-        .groupBy(*LEVELS, "bucket")
-        .agg(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("h"))).alias("last"))
-    )
-    # All smaller buckets; the first has none, and its lower border less one is no long.
-    floor = F.when(F.col("bucket") > -BUCKETS // 2, F.shiftleft(F.col("bucket"), 64 - (BUCKETS - 1).bit_length()) - 1)
-    cuts = planned.join(last, LEVELS, "left").select(
-        *LEVELS, "epochs", F.when(F.col("bucket").isNotNull(), F.coalesce("last", floor)).alias("cut"), (F.col("rest") > 0).alias("partial")
-    )
-    cuts = materialize(cuts, "cuts")
-    taken = sized.join(cuts, LEVELS).withColumn("h", order)
-    more = F.col("partial") & F.coalesce(F.col("h") <= F.col("cut"), F.lit(False))
-    copies = (F.col("epochs") + more.cast("long")).cast("long")
+    plan = planned.select("*", F.lit(0).alias("all_"), (F.col("epochs") < max_epochs).alias("spare"))
+    place = lambda rows: rows.join(plan, LEVELS).withColumns({"h": order, "more": F.lit(False)})
+    spread, steps, nodes = materialize(place(counted).select("all_", *LEVELS, "n_tokens", "h", "spare", "more", "rest"), "spread"), [], plan
+    names = ["all_", *LEVELS]
+    for depth in range(len(names), 0, -1):
+        level = names[:depth]
+        # A leaf fills its own rest; a node above what its children left unfilled.
+        if depth < len(names):
+            got = spread.groupBy(*LEVELS).agg(F.sum(F.when(F.col("more"), F.col("n_tokens")).otherwise(0)).alias("got"))
+            nodes = plan.join(got, LEVELS).groupBy(*level).agg((F.sum("rest") - F.sum("got")).alias("rest"))
+        nodes = materialize(nodes.select(*level, "rest"), "nodes")
+        found = _stretches(spread.where("spare and not more").drop("rest", "more"), nodes, level)
+        if found is not None:
+            steps.append((found, level))
+            spread = materialize(_marked(spread, found, level), "spread")
+    taken = place(sized)
+    for found, level in steps:
+        taken = _marked(taken, found, level)
+    copies = (F.col("epochs") + F.col("more").cast("long")).cast("long")
     names = [F.col(f"kept_{c}").alias(c) for c in keep or []]
     shown = taken.where(copies > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
     if keep is not None:

@@ -274,6 +274,21 @@ def test_op2_prefix_that_ends_in_the_first_bucket(spark):
     assert mix(docs, budget=5).collect() == []
 
 
+def test_op2_unfilled_budget_is_filled_and_handed_on(spark):
+    from docstrata.llm.mixing import mix
+
+    flat = {"domain": {}, "lang": {}, "source": {}}
+    # One long document among short ones must not end its leaf, wherever the order puts it.
+    docs = spark.createDataFrame([(0, "w " * 900, "en", "src0")] + [(k, "w " * 10, "en", "src0") for k in range(1, 91)], "doc_id long, text string, lang string, source string")
+    for seed in range(3):
+        taken = mix(docs, weights=flat, budget=600, seed=seed).collect()
+        assert sum(r.n_tokens for r in taken) == 600
+    # A leaf of one document that does not fit hands its budget to its sibling, no row above max_epochs.
+    rows = [(0, "w " * 1000, "en", "src0")] + [(k, "w " * 10, "en", "src4") for k in range(1, 101)]
+    taken = mix(spark.createDataFrame(rows, docs.schema), weights=flat, budget=1000, max_epochs=2).collect()
+    assert sum(r.n_tokens for r in taken) == 1000 and len({(r.doc_id, r.epoch) for r in taken}) == len(taken)
+
+
 def test_novelty_leaves_known_spans_alone():
     scanner = Scanner()
     text = "secret q7Zr9XkP2mVt8LwYb4Nc6Hs1 private W3dJ5fGz8RnB1xTq6KvC9yLm"
