@@ -3,17 +3,15 @@
 A domain - language - source tree gets a token budget. Each node hands its budget to its
 children in proportion to their weights, none more than it can give (its supply times the
 epochs allowed); what a child cannot take goes to its siblings, and only what a whole
-subtree cannot take goes to the siblings of its parent. A leaf with budget b and supply s
-repeats b div s whole epochs and takes documents of one more for b mod s tokens, in an order
-seeded anew for each epoch. A document that does not fit what is left is passed over and the
-next that fit are taken. What no document of the leaf fits goes to its siblings, documents
-that still fit in the same order, then to those of its parent, and at last to all.
-
-The tree is a small aggregate of the documents and stays distributed. A stretch that fits is
-found without sorting a leaf: token sums of hash buckets locate the bucket where it ends, and
-only that bucket is ordered. The next stretch starts behind the document that did not fit,
-among those no longer than what is left. What is taken is known from the stretches: a small
-table of hash intervals for each node.
+subtree cannot take goes to the siblings of its parent. Budgets are whole tokens: the
+remainder of the division goes to the largest fractions. A leaf with budget b and supply s
+repeats b div s whole epochs and takes the token-prefix of b mod s tokens of one more, in an
+order seeded anew for each epoch. The document on the border gives only its first tokens, so
+every leaf takes its budget to the token.
+
+The tree is a small aggregate of the documents and stays distributed. The border of a prefix
+is found without sorting a leaf: token sums of hash buckets locate the bucket where it lies,
+and only that bucket is ordered, equal rows counted together.
 """
 
 from __future__ import annotations
@@ -41,7 +39,8 @@ def tier_of_source() -> Column:
 
 def count_words(text: Column) -> Column:
     """Tokens for the budget: runs without white space."""
-    return F.size(F.filter(F.split(text, f"[{WHITE}]+"), lambda w: w != "")).cast("long")
+    bare = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(bare == "", 0).otherwise(F.size(F.split(bare, f"[{WHITE}]+"))).cast("long")
 
 
 def _weight(level: str, weights: dict[str, dict[str, float]]) -> Column:
@@ -54,26 +53,36 @@ def share_out(children: DataFrame, parents: list[str], level: str) -> DataFrame:
     """budget for each child: parent_budget by weight, no child above its capacity.
 
     The children of a parent are ordered by capacity over weight. Those at the front are
-    filled; the first that need not be sets the rate for itself and all after it.
+    filled; the first that need not be sets the rate for itself and all after it. Their
+    shares are cut to whole tokens, and the tokens left go one each to the largest fractions,
+    names deciding ties.
     """
-    ordered = Window.partitionBy(*parents).orderBy("ratio", level) if parents else Window.partitionBy(F.lit(0)).orderBy("ratio", level)
-    group = Window.partitionBy(*parents) if parents else Window.partitionBy(F.lit(0))
+    key = [F.col(p) for p in parents] or [F.lit(0)]
+    group = Window.partitionBy(*key)
+    ordered = group.orderBy("ratio", level)
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
     after = ordered.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    ranked = children.where("weight > 0").withColumn("ratio", F.col("capacity") / F.col("weight"))
+    ranked = children.withColumn("ratio", F.col("capacity") / F.col("weight"))
     rated = ranked.withColumn("rate", (F.col("parent_budget") - F.coalesce(F.sum("capacity").over(before), F.lit(0))) / F.sum("weight").over(after))
     rated = rated.withColumn("cut", F.min(F.when(F.col("ratio") > F.col("rate"), F.struct("ratio", level, "rate"))).over(group))
-    filled = F.col("cut").isNull() | (F.col("ratio") < F.col("cut.ratio"))
-    budget = F.when(filled, F.col("capacity")).otherwise(F.floor(F.col("cut.rate") * F.col("weight")))
-    return rated.withColumn("budget", F.least("capacity", F.greatest(budget, F.lit(0))).cast("long")).drop("ratio", "rate", "cut")
+    filled = F.col("cut").isNull() | (F.struct("ratio", level) < F.struct("cut.ratio", f"cut.{level}"))
+    exact = F.when(filled, F.col("capacity").cast("double")).otherwise(F.greatest(F.col("cut.rate") * F.col("weight"), F.lit(0.0)))
+    shared = rated.withColumn("exact", exact).withColumn("budget", F.least("capacity", F.floor("exact")).cast("long"))
+    left = F.least(F.first("parent_budget").over(group), F.sum("capacity").over(group)) - F.sum("budget").over(group)
+    roomy = F.col("budget") < F.col("capacity")
+    nth = F.row_number().over(group.orderBy((~roomy).cast("int"), (F.floor("exact") - F.col("exact")), level))
+    shared = shared.withColumns({"left": left, "nth": nth})
+    return shared.withColumn("budget", F.col("budget") + (roomy & (F.col("nth") <= F.col("left"))).cast("long")).drop("ratio", "rate", "cut", "exact", "left", "nth")
 
 
 def leaf_budgets(leaves: DataFrame, weights, budget: int | None, share: float, max_epochs: int) -> DataFrame:
-    """(domain, lang, source, supply, budget, epochs, rest) for each leaf."""
+    """(domain, lang, source, supply, budget, epochs, rest) for each leaf that weighs more than 0."""
+    supply = leaves.agg(F.sum("supply")).first()[0] or 0  # one row
+    total = budget if budget is not None else int(supply * share)
     able = leaves.withColumn("capacity", F.col("supply") * max_epochs)
-    root = able.agg(F.sum("supply").alias("supply"), F.sum("capacity").alias("capacity")).first()  # one row
-    total = budget if budget is not None else int((root["supply"] or 0) * share)
-    granted = min(root["capacity"] or 0, total)
+    for level in LEVELS:
+        able = able.where(_weight(level, weights) > 0)
+    granted = min(able.agg(F.sum("capacity")).first()[0] or 0, max(total, 0))
     shared = None
     for depth, level in enumerate(LEVELS):
         names = LEVELS[: depth + 1]
@@ -90,52 +99,23 @@ def leaf_budgets(leaves: DataFrame, weights, budget: int | None, share: float, m
     )
 
 
-def _stretches(able: DataFrame, nodes: DataFrame, names: list[str]) -> DataFrame | None:
-    """(names, low, stop, most) of the stretches that fill the nodes (names, rest), None without any.
+def prefix_borders(placed: DataFrame) -> DataFrame:
+    """(leaf, stop, n_tokens, m, left): the last rows of each leaf's partial epoch, and the tokens they give.
 
-    able has names, h and n_tokens. A row is taken where low < h < stop (null: no border) and
-    n_tokens <= most. Rows of equal h stand or fall together. Each round ends a node or passes a row.
+    placed has the leaf, place (its order in the epoch), n_tokens and rest. m equal rows stand
+    at the border stop; they give the left tokens one after the other.
     """
-    shift = 64 - (BUCKETS - 1).bit_length()
-    found = None
-    left = nodes.where("rest > 0").select(*names, F.col("rest").alias("most"), F.lit(None).cast("long").alias("low"))
-    while True:
-        fits = able.join(left, names).where((F.col("n_tokens") <= F.col("most")) & (F.col("low").isNull() | (F.col("h") > F.col("low"))))
-        sums = materialize(
-            fits.withColumn("bucket", F.shiftright("h", shift)).groupBy(*names, "bucket").agg(F.sum("n_tokens").alias("n"), F.max("most").alias("most"), F.max("low").alias("low")), "sums"
-        )
-        if sums.isEmpty():
-            return found
-        running = sums.withColumn("before", F.sum("n").over(Window.partitionBy(*names).orderBy("bucket")) - F.col("n"))
-        ending = running.where((F.col("before") <= F.col("most")) & (F.col("before") + F.col("n") > F.col("most"))).select(*names, "bucket", "before")
-        ending = materialize(ending, "ending")
-        inside = Window.partitionBy(*names, "bucket").orderBy("h")  # equal hashes count together
-        stops = (
-            fits.withColumn("bucket", F.shiftright("h", shift))
-            .join(ending, [*names, "bucket"])
-            .withColumn("upto", F.col("before") + F.sum("n_tokens").over(inside))
-            .groupBy(*names)
-            .agg(
-                F.min(F.when(F.col("upto") > F.col("most"), F.col("h"))).alias("stop"),
-                F.coalesce(F.max(F.when(F.col("upto") <= F.col("most"), F.col("upto"))), F.first("before")).alias("used"),
-            )
-        )
-        total = sums.groupBy(*names).agg(F.sum("n").alias("all"), F.max("most").alias("most"), F.max("low").alias("low"))
-        made = materialize(total.join(stops, names, "left").select(*names, "low", "stop", "most", F.coalesce("used", "all").alias("used")), "stretches")
-        found = made if found is None else found.unionByName(made)
-        left = made.where("stop is not null and used < most").select(*names, (F.col("most") - F.col("used")).alias("most"), F.col("stop").alias("low"))
-
-
-def _marked(rows: DataFrame, found: DataFrame | None, names: list[str]) -> DataFrame:
-    """rows with more, true for those that a stretch takes, and as it was for others."""
-    if found is None:
-        return rows
-    taken = found.groupBy(*names).agg(F.collect_list(F.struct("low", "stop", "most")).alias("taken_"))
-    inside = lambda x: (
-        (x["low"].isNull() | (F.col("h") > x["low"])) & (x["stop"].isNull() | (F.col("h") < x["stop"])) & (F.col("n_tokens") <= x["most"])
-    )
-    hit = F.coalesce(F.exists("taken_", inside), F.lit(False))
-    return rows.join(taken, names, "left").withColumn("more", F.col("more") | (F.col("spare") & hit)).drop("taken_")
+    bucket = F.shiftright("place.h", 64 - (BUCKETS - 1).bit_length())
+    some = placed.where("rest > 0 and n_tokens > 0").withColumn("bucket", bucket)
+    sums = some.groupBy(*LEVELS, "bucket").agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest"))
+    running = sums.withColumn("before", F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("bucket")) - F.col("n"))
+    ending = running.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("n") >= F.col("rest"))).select(*LEVELS, "bucket", "before")
+    ending = materialize(ending, "ending")
+    inside = some.join(ending, [*LEVELS, "bucket"]).groupBy(*LEVELS, "place", "n_tokens").agg(F.count("*").alias("m"), F.first("before").alias("before"), F.first("rest").alias("rest"))
+    upto = F.col("before") + F.sum(F.col("n_tokens") * F.col("m")).over(Window.partitionBy(*LEVELS).orderBy("place"))
+    reached = inside.withColumn("from", upto - F.col("n_tokens") * F.col("m"))
+    border = reached.where((F.col("from") < F.col("rest")) & (F.col("from") + F.col("n_tokens") * F.col("m") >= F.col("rest")))
+    return border.select(*LEVELS, F.col("place").alias("stop"), "n_tokens", "m", (F.col("rest") - F.col("from")).alias("left"))
 
 
 def mix(
@@ -151,48 +131,42 @@ def mix(
 ) -> DataFrame:
     """The selected rows of docs, one for each epoch that takes them.
 
-    Columns: doc_id, domain, lang, source, n_tokens and epoch, from 0 (and those of keep).
-    budget is in tokens, by default share of all. In a partial epoch the rows of a leaf are
-    taken in seeded order where their tokens fit what is left; what stays unfilled goes to
-    siblings. Rows that tie in the order (repeated rows) stand or fall together.
-    Null names are nodes called (null); a null text has no tokens; a null doc_id is ordered
-    by its seed alone. An empty table gives an empty result.
+    Columns: doc_id, domain, lang, source, n_tokens, epoch, from 0, and taken, the tokens that
+    the epoch takes from the front of the row: n_tokens, or less for the last row of a partial
+    epoch. budget is in tokens, by default share of all; leaves take min(budget, what leaves of
+    a weight above 0 can give) exactly. With keep the columns named are returned instead, the
+    last row of an epoch whole: a leaf is then over its budget by less than that row.
+
+    Rows are ordered by a hash of seed, epoch, doc_id and text. Repeated rows tie; each counts,
+    and with keep those at the border all stay. Null names are nodes called (null); a null text
+    has no tokens; a null doc_id is ordered by the rest of its row. Texts of any length count
+    whole. Columns of other names are not read and cannot clash. An empty table, or a budget
+    of 0, gives an empty result.
     """
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("(null)"))
     count = count_words(text_of()) if tokens is None else tokens
     tier = tier_of_source() if domain is None else domain
-    kept = [F.col(c).alias(f"kept_{c}") for c in keep or []]
+    kept = [F.struct(*keep).alias("kept_")] if keep else []
     sized = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(tier, F.lit("(null)")).alias("domain"),
-        named("lang").alias("lang"), named("source").alias("source"), F.coalesce(count, F.lit(0)).alias("n_tokens"), *kept,
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("text_key"), F.coalesce(tier, F.lit("(null)")).alias("domain"),
+        named("lang").alias("lang"), named("source").alias("source"), F.coalesce(count, F.lit(0)).cast("long").alias("n_tokens"), *kept,
     )
-    counted = materialize(sized.drop(*(f"kept_{c}" for c in keep or [])), "sizes")
-    leaves = counted.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("supply"))
-    planned = materialize(leaf_budgets(materialize(leaves, "leaves"), weights, budget, share, max_epochs), "budgets")
-
-    # The whole table is one more node above the domains.
-    order = F.xxhash64(F.lit(seed), F.col("epochs"), F.col("doc_id"))
-    plan = planned.select("*", F.lit(0).alias("all_"), (F.col("epochs") < max_epochs).alias("spare"))
-    place = lambda rows: rows.join(plan, LEVELS).withColumns({"h": order, "more": F.lit(False)})
-    spread, steps, nodes = materialize(place(counted).select("all_", *LEVELS, "n_tokens", "h", "spare", "more", "rest"), "spread"), [], plan
-    names = ["all_", *LEVELS]
-    for depth in range(len(names), 0, -1):
-        level = names[:depth]
-        # A leaf fills its own rest; a node above what its children left unfilled.
-        if depth < len(names):
-            got = spread.groupBy(*LEVELS).agg(F.sum(F.when(F.col("more"), F.col("n_tokens")).otherwise(0)).alias("got"))
-            nodes = plan.join(got, LEVELS).groupBy(*level).agg((F.sum("rest") - F.sum("got")).alias("rest"))
-        nodes = materialize(nodes.select(*level, "rest"), "nodes")
-        found = _stretches(spread.where("spare and not more").drop("rest", "more"), nodes, level)
-        if found is not None:
-            steps.append((found, level))
-            spread = materialize(_marked(spread, found, level), "spread")
-    taken = place(sized)
-    for found, level in steps:
-        taken = _marked(taken, found, level)
-    copies = (F.col("epochs") + F.col("more").cast("long")).cast("long")
-    names = [F.col(f"kept_{c}").alias(c) for c in keep or []]
-    shown = taken.where(copies > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
-    if keep is not None:
-        return shown.select(*names)
-    return shown.select("doc_id", *LEVELS, "n_tokens", "epoch")
+    counted = materialize(sized.drop("kept_"), "sizes")
+    leaves = materialize(counted.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("supply")), "leaves")
+    plan = materialize(leaf_budgets(leaves, weights, budget, share, max_epochs), "budgets").where("budget > 0").drop("supply", "budget")
+    order = F.struct(F.xxhash64(F.lit(seed), F.col("epochs"), F.col("doc_id"), F.col("text_key")).alias("h"), "doc_id", "text_key")
+    border = materialize(prefix_borders(counted.join(plan, LEVELS).withColumn("place", order)), "borders")
+
+    placed = (sized if keep else counted).join(plan, LEVELS).join(border.select(*LEVELS, "stop"), LEVELS, "left").withColumn("place", order)
+    inside = F.coalesce((F.col("place") <= F.col("stop")) if keep else (F.col("place") < F.col("stop")), F.lit(False))
+    copies = (F.col("epochs") + inside.cast("long")).cast("long")
+    shown = placed.where(copies > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
+    if keep:
+        return shown.select("kept_.*")
+    columns = ["doc_id", *LEVELS, "n_tokens", "epoch"]
+    step = F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("m"), F.ceil(F.col("left") / F.col("n_tokens"))) - 1))
+    last = border.join(plan, LEVELS).withColumn("i", step).select(
+        F.col("stop.doc_id").alias("doc_id"), *LEVELS, "n_tokens", F.col("epochs").alias("epoch"),
+        F.least(F.col("n_tokens"), F.col("left") - F.col("i") * F.col("n_tokens")).alias("taken"),
+    )
+    return shown.select(*columns, F.col("n_tokens").alias("taken")).unionByName(last)
