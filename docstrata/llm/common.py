@@ -23,10 +23,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and every executor see: spark.checkpoint.dir.
 
-    Where the session names none (tests on one machine) a temporary one is set.
+    Where a session on one machine names none (tests) a temporary one is set. On a cluster
+    no folder of this machine would be seen by the executors, so there it must be set.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         if "own" not in _OWN:
             _OWN["own"] = tempfile.mkdtemp(prefix="docstrata-")
             spark.sparkContext.setCheckpointDir(_OWN["own"])
@@ -38,13 +41,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
     This cuts the lineage, survives lost executors and keeps a computation that
-    two consumers need from running twice. The table goes when the driver ends.
+    two consumers need from running twice. The table goes with discard, or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.shared_path_ = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of materialize that nothing lazy reads any more."""
+    for table in tables:
+        _remove(table.sparkSession, table.shared_path_)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -81,10 +92,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
         low = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "low")
         large = both.where(b > a).join(low, "a").select(b.alias("a"), F.col("m").alias("b")).distinct()
         large = materialize(large, "large")
-        low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "low")
-        pointed = large.join(low, "a")
+        lower = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "low")
+        pointed = large.join(lower, "a")
         small = pointed.where(b != F.col("m")).select(b.alias("a"), F.col("m").alias("b"))
-        forest = materialize(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        shorter = materialize(small.unionByName(lower.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        discard(forest, low, large, lower)
+        forest = shorter
     roots = forest.select(b.alias("node"), b.alias("component")).distinct()
     return forest.select(a.alias("node"), b.alias("component")).unionByName(roots)
 
