@@ -1,10 +1,11 @@
 """N-gram Jaccard join with Bayesian candidate pruning.
 
 A text is the set of its word shingles. Texts with equal sets are one class, found by a
-grouped aggregate, and only class representatives are compared. Their MinHash signatures
-are cut into bands; representatives that share a band value are candidates, and connected
-candidates form a block. Blocks are compared in tiles of bounded size, so that thousands
-of near copies of each other spread over many tasks and each pair is met once.
+grouped aggregate, and only one member of a class, its node, is compared. A node has an id of
+its own, since one doc_id may carry several texts. MinHash signatures are cut into bands;
+nodes that share a band value are candidates, and connected candidates form a block. Blocks
+are compared in tiles of bounded rows and bytes, so that thousands of near copies of each
+other spread over many tasks and each pair is met once.
 
 In a tile signatures are compared a few values at a time. With m of n values equal and a
 uniform prior, the similarity has the Beta(m + 1, n - m + 1) distribution; a pair whose
@@ -23,12 +24,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docstrata.llm.common import connected_components, materialize, text_of
+from docstrata.llm.common import connected_components, discard, materialize, text_of
 from docstrata.llm.tiles import tile_result
 
 BANDS, ROWS = 42, 6
 HASHES = BANDS * ROWS
-TILE = 256
+TILE = 1024  # nodes on one side of a tile
+TILE_BYTES = 24 << 20  # of shingles on one side of a tile, unless one node has more
 TOLERANCE = 1e-6
 STEPS = (16, 32, 64, 128, HASHES)
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -180,7 +182,7 @@ def _incidence(flat: np.ndarray, row: np.ndarray, n: int, values: np.ndarray) ->
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, h1, h2, n, sig): the identity and MinHash signature of each text's shingle set."""
+    """(doc_id, text_key, h1, h2, n, sig): the identity and MinHash signature of each text's shingle set."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -193,40 +195,44 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").take(pa.array(full, pa.int64())),
+                        batch.column("text_key").take(pa.array(full, pa.int64())),
                         pa.array([h for h, _ in hashes], pa.int64()),
                         pa.array([h for _, h in hashes], pa.int64()),
                         pa.array([len(sets[k]) for k in full], pa.int64()),
                         pa.array([s.tobytes() for s in sig], pa.binary()),
                     ],
-                    names=["doc_id", "h1", "h2", "n", "sig"],
+                    names=["doc_id", "text_key", "h1", "h2", "n", "sig"],
                 )
 
-    return docs.mapInArrow(sketch, "doc_id long, h1 long, h2 long, n long, sig binary")
+    return docs.mapInArrow(sketch, "doc_id long, text_key long, h1 long, h2 long, n long, sig binary")
 
 
 def _with_shingles(rows: DataFrame, width: int) -> DataFrame:
-    """rows (block, rep, size, h1, h2, sig, text) with the set instead of the text, where it is the rep's."""
+    """rows (block, node, size, h1, h2, sig, text) with the set instead of the text, where it is the node's."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = shingles(batch.column("text"), width)
-            own = list(zip(batch.column("h1").to_pylist(), batch.column("h2").to_pylist(), strict=True))
-            right = [k for k, s in enumerate(sets) if len(s) and set_hash(s) == own[k]]
-            kept = batch.select(["block", "rep", "size", "sig"]).take(pa.array(right, pa.int64()))
-            yield kept.append_column("set", pa.array([sets[k].tobytes() for k in right], pa.binary()))
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 512):
+                batch = whole.slice(lo, 512)
+                sets = shingles(batch.column("text"), width)
+                own = list(zip(batch.column("h1").to_pylist(), batch.column("h2").to_pylist(), strict=True))
+                right = [k for k, s in enumerate(sets) if len(s) and set_hash(s) == own[k]]
+                kept = batch.select(["block", "node", "size", "sig"]).take(pa.array(right, pa.int64()))
+                yield kept.append_column("set", pa.array([sets[k].tobytes() for k in right], pa.binary()))
 
-    return rows.mapInArrow(add, "block long, rep long, size long, sig binary, set binary")
+    return rows.mapInArrow(add, "block long, node long, size long, sig binary, set binary")
 
 
 def _compare(threshold: float, tolerance: float):
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         block, side = np.asarray(table.column("block")), np.asarray(table.column("side"))
-        rep, size = np.asarray(table.column("rep")), np.asarray(table.column("size"))
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(rep), HASHES)
+        node, size = np.asarray(table.column("node")), np.asarray(table.column("size"))
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(node), HASHES)
         sets = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
-        order = np.lexsort((rep, side, block))
-        order = order[np.concatenate(([True], (np.diff(block[order]) != 0) | (np.diff(side[order]) != 0) | (np.diff(rep[order]) != 0)))]
+        order = np.lexsort((node, side, block))
+        # A document that stands twice in the table brings its node twice.
+        order = order[np.concatenate(([True], (np.diff(block[order]) != 0) | (np.diff(side[order]) != 0) | (np.diff(node[order]) != 0)))]
         cuts = np.flatnonzero(np.diff(block[order])) + 1
         out = []
         for rows in np.split(order, cuts):
@@ -240,15 +246,15 @@ def _compare(threshold: float, tolerance: float):
             local = {int(k): n for n, k in enumerate(rows)}
             a = np.fromiter((local[int(left[x])] for x in i[ok]), np.int64, int(ok.sum()))
             b = np.fromiter((local[int(right[y])] for y in j[ok]), np.int64, int(ok.sum()))
-            out.append(tile_result(rep[rows], size[rows], a, b))
+            out.append(tile_result(node[rows], size[rows], a, b))
         columns = [np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in range(3)]
-        return pa.table(dict(zip(("rep", "links", "root"), columns, strict=True)))
+        return pa.table(dict(zip(("node", "links", "root"), columns, strict=True)))
 
     return compare
 
 
 def jaccard_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, tolerance: float = TOLERANCE, tile: int = TILE) -> DataFrame:
-    """doc_id, class_id, copy_of, n_links and kept for each row of docs.
+    """doc_id, class_id, copy_of, n_links, text_key (xxhash64 of the text) and kept for each row of docs.
 
     Two rows link when the Jaccard similarity of their shingle sets (width words each, A-Z
     in lower case) is at least threshold. n_links counts the other rows that a row links
@@ -260,31 +266,34 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, tolera
 
     Rows whose text is null, empty or blank, and rows without doc_id, link with nothing:
     class_id and copy_of are their doc_id and kept is true. Texts of fewer words than width
-    have one shingle. Repeated rows link with each other and share their doc_id. Other
-    columns are not read; an empty table gives an empty result.
+    have one shingle; texts of any length count whole. Repeated rows link with each other and
+    share their doc_id. Rows of one doc_id with different texts are further documents: each has
+    the links and the class of its own text, and kept is true where that class bears the doc_id.
+    Other columns are not read; an empty table gives an empty result.
     """
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("text_key"), text_of().alias("text"))
     sketched = materialize(sketches(plain.where(F.col("doc_id").isNotNull()), width), "sketches")
-    classes = materialize(
-        sketched.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("sig").alias("sig")), "classes"
-    )
+    classes = sketched.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     values = F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)),
         lambda k: F.xxhash64(k, F.substring(F.col("sig"), k * (4 * ROWS) + 1, F.lit(4 * ROWS))),
     )
-    banded = classes.select("rep", F.explode(values).alias("band"))
-    shared = materialize(banded.groupBy("band").agg(F.min("rep").alias("low"), F.count("*").alias("m")).where("m > 1").select("band", "low"), "bands")
-    edges = banded.join(shared, "band").where(F.col("rep") != F.col("low")).select(F.col("rep").alias("a"), F.col("low").alias("b"))
-    members = materialize(connected_components(edges).select(F.col("node").alias("rep"), F.col("component").alias("block")), "blocks")
-
-    texts = members.join(classes, "rep").join(plain, F.col("rep") == F.col("doc_id"))
-    sets = materialize(_with_shingles(texts.select("block", "rep", "size", "h1", "h2", "sig", "text"), width), "sets")
-    sizes = members.groupBy("block").agg(F.count("*").alias("m"))
-    sizes = materialize(sizes.withColumn("parts", F.ceil(F.col("m") / tile).cast("int")), "parts")
-    bins = max(1, (sizes.agg(F.sum("m").alias("m")).first()["m"] or 0) // (2 * tile))  # whole blocks that share a task's call
-    own = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("block"), F.lit(bins))).otherwise(F.pmod(F.xxhash64("rep"), F.col("parts")))
+    banded = classes.select("node", F.explode(values).alias("band"))
+    shared = materialize(banded.groupBy("band").agg(F.min("node").alias("low"), F.count("*").alias("m")).where("m > 1").select("band", "low"), "bands")
+    edges = banded.join(shared, "band").where(F.col("node") != F.col("low")).select(F.col("node").alias("a"), F.col("low").alias("b"))
+    members = materialize(connected_components(edges).select("node", F.col("component").alias("block")), "blocks")
+
+    # The text of a node is that of any row of its class; the smallest doc_id finds it.
+    texts = members.join(classes, "node").join(plain, F.col("rep") == F.col("doc_id"))
+    sets = materialize(_with_shingles(texts.select("block", "node", "size", "h1", "h2", "sig", "text"), width), "sets")
+    sizes = members.join(classes.select("node", "n"), "node").groupBy("block").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    parts = F.ceil(F.greatest(F.col("m") / tile, F.col("n") * 8 / TILE_BYTES)).cast("int")
+    sizes = materialize(sizes.withColumn("parts", parts), "parts")
+    bins = max(1, (sizes.agg(F.sum("n").alias("n")).first()["n"] or 0) * 8 // TILE_BYTES, (sizes.agg(F.sum("m").alias("m")).first()["m"] or 0) // tile)
+    own = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("block"), F.lit(bins))).otherwise(F.pmod(F.xxhash64("node"), F.col("parts")))
     sent = (
-        sets.join(sizes, "block")
+        sets.join(sizes.select("block", "parts"), "block")
         .withColumn("own", own.cast("long"))
         .withColumn("part", F.explode(F.when(F.col("parts") == 1, F.array("own")).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))))
         .select(
@@ -292,21 +301,27 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, tolera
             F.least("own", "part").alias("p"),
             F.greatest("own", "part").alias("q"),
             (F.col("own") > F.col("part")).cast("int").alias("side"),
-            "block", "rep", "size", "sig", "set",
+            "block", "node", "size", "sig", "set",
         )
     )
-    found = sent.groupBy("tile", "p", "q").applyInArrow(_compare(threshold, tolerance), "rep long, links long, root long")
+    found = sent.groupBy("tile", "p", "q").applyInArrow(_compare(threshold, tolerance), "node long, links long, root long")
     found = materialize(found, "links")
-    parts = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    linked = found.groupBy("rep").agg(F.sum("links").alias("links")).join(parts, F.col("rep") == F.col("node"), "left").select("rep", "links", "component")
+    discard(shared, sets, sizes, members)
+    names = classes.select("node", "h1", "h2", "rep", "size")
+    comps = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).join(names.select("node", "rep"), "node")
+    # A component is named by the smallest doc_id of its nodes.
+    comps = materialize(comps.select("node", "component", "rep"), "components")
+    named = comps.groupBy("component").agg(F.min("rep").alias("class_id"))
+    linked = found.groupBy("node").agg(F.sum("links").alias("links")).join(comps.join(named, "component"), "node").select("node", "links", "class_id")
     answers = materialize(
-        classes.select("h1", "h2", "rep", "size").join(linked, "rep", "left").select(
-            "h1", "h2", F.col("rep").alias("copy_of"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("class_id")
+        names.join(linked, "node", "left").select(
+            "h1", "h2", F.col("rep").alias("copy_of"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("class_id", "rep").alias("class_id")
         ),
         "answers",
     )
-    told = sketched.select("doc_id", "h1", "h2").join(answers, ["h1", "h2"]).select("doc_id", "class_id", "copy_of", "n_links")
+    discard(classes, found, comps)
+    told = sketched.select("doc_id", "text_key", "h1", "h2").join(answers, ["h1", "h2"]).select("doc_id", "class_id", "copy_of", "n_links", "text_key")
     silent = plain.where(F.col("doc_id").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(
-        "doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), F.lit(0).cast("long").alias("n_links")
+        "doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), F.lit(0).cast("long").alias("n_links"), "text_key"
     )
     return told.unionByName(silent).withColumn("kept", F.coalesce(F.col("class_id") == F.col("doc_id"), F.lit(True)))

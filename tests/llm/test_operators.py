@@ -250,45 +250,6 @@ def test_op3(spark, tile):
     assert {i: (r.n_links, r.component_id, r.kept) for i, r in got.items()} == {i: (len(links[i]), root[i], root[i] == i) for i in root}
 
 
-def test_op2_shares_follow_weights_and_capacity(spark):
-    from docstrata.llm.mixing import mix
-
-    rows = [(k, "w " * 10, "en" if k % 2 else "de", "src0" if k % 4 < 2 else "src1") for k in range(4000)] + [(9000 + k, "w " * 10, "en", "src2") for k in range(20)] + [(None, None, None, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    weights = {"domain": {"tier0": 1.0, "tier1": 1.0, "tier2": 2.0}, "lang": {}, "source": {}}
-    taken = mix(docs, weights=weights, budget=20_000, max_epochs=3, seed=1)
-    got = {r.domain: r.n for r in taken.groupBy("domain").agg(F.sum("n_tokens").alias("n")).collect()}
-    assert got["tier2"] == 600  # all it can give; the rest goes to its siblings in equal parts
-    assert abs(got["tier0"] - 9700) <= 20 and abs(got["tier1"] - 9700) <= 20
-    again = mix(docs, weights=weights, budget=20_000, max_epochs=3, seed=1)
-    assert sorted(map(str, taken.collect())) == sorted(map(str, again.collect()))
-
-
-def test_op2_prefix_that_ends_in_the_first_bucket(spark):
-    from docstrata.llm.mixing import BUCKETS, mix
-
-    # One document whose hash lies in the least bucket, and does not fit: nothing is taken.
-    ids = spark.range(200_000).select("id", F.xxhash64(F.lit(42), F.lit(0).cast("long"), "id").alias("h"))
-    one = ids.where(F.shiftright("h", 64 - (BUCKETS - 1).bit_length()) == -BUCKETS // 2).first()["id"]
-    docs = spark.createDataFrame([(one, "w " * 10, "en", "src0")], "doc_id long, text string, lang string, source string")
-    assert mix(docs, budget=5).collect() == []
-
-
-def test_op2_unfilled_budget_is_filled_and_handed_on(spark):
-    from docstrata.llm.mixing import mix
-
-    flat = {"domain": {}, "lang": {}, "source": {}}
-    # One long document among short ones must not end its leaf, wherever the order puts it.
-    docs = spark.createDataFrame([(0, "w " * 900, "en", "src0")] + [(k, "w " * 10, "en", "src0") for k in range(1, 91)], "doc_id long, text string, lang string, source string")
-    for seed in range(3):
-        taken = mix(docs, weights=flat, budget=600, seed=seed).collect()
-        assert sum(r.n_tokens for r in taken) == 600
-    # A leaf of one document that does not fit hands its budget to its sibling, no row above max_epochs.
-    rows = [(0, "w " * 1000, "en", "src0")] + [(k, "w " * 10, "en", "src4") for k in range(1, 101)]
-    taken = mix(spark.createDataFrame(rows, docs.schema), weights=flat, budget=1000, max_epochs=2).collect()
-    assert sum(r.n_tokens for r in taken) == 1000 and len({(r.doc_id, r.epoch) for r in taken}) == len(taken)
-
-
 def test_novelty_leaves_known_spans_alone():
     scanner = Scanner()
     text = "secret q7Zr9XkP2mVt8LwYb4Nc6Hs1 private W3dJ5fGz8RnB1xTq6KvC9yLm"
@@ -317,6 +278,53 @@ def test_novelty_judges_keys_without_digits_by_size():
     assert Scanner().novel("the private configuration_connection is documented", []) == []
 
 
+def test_op3_one_id_of_two_vectors_huge_and_tiny_components_and_text_labels(spark):
+    schema = "vec_id long, embedding array<double>, label string, node long, h1 long, c0 int"
+    rows = [(1, [1.0, 0, 0], "a"), (1, [0, 1.0, 0], "a"), (2, [1.0, 0.01, 0], "a"), (3, [0, 1.0, 0.01], "a")]
+    rows += [(10, [1e200, 1e200, 0.0], "b"), (11, [1e-200, 1e-200, 0.0], "b"), (12, [1e-320, 1e-320, 0.0], "b"), (13, [1.0, 1.0, 0.0], "c"), (14, [1e308, -1e308, 0.0], "b")]
+    rows = [(i, [float(x) for x in e], c, 1, 2, 3) for i, e, c in rows]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_near_dedup(spark.createDataFrame(rows, schema)).collect())
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (10, 2, 10, True), (11, 2, 10, False), (12, 2, 10, False), (13, 0, 13, True), (14, 0, 14, True)]
+
+
+def test_op3_crowded_cells_get_more_axes(spark, monkeypatch):
+    from docstrata.llm import vectors
+
+    rng = np.random.default_rng(1)
+    rows = [(k, [float(x) for x in rng.normal(size=4)], 1) for k in range(300)] + [(1000 + k, [1.0, 0.0, 0.0, float(k % 7) / 100], 1) for k in range(60)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    want = sorted(map(tuple, embedding_near_dedup(docs).collect()))
+    for crowded in (0.0, 1.5):
+        monkeypatch.setattr(vectors, "CROWDED", crowded)
+        assert sorted(map(tuple, embedding_near_dedup(docs, tile=5).collect())) == want
+    assert sum(n for _, n, *_ in want) > 60
+
+
+def test_op6_one_id_of_two_texts(spark):
+    a, b = [f"a{k}" for k in range(60)], [f"b{k}" for k in range(60)]
+    rows = [(1, a), (1, b), (2, [*a[:-1], "x"]), (3, [*b[:-1], "y"]), (4, [f"c{k}" for k in range(60)])]
+    docs = spark.createDataFrame([(i, " ".join(t), "x") for i, t in rows], "doc_id long, text string, node string")
+    got = sorted((r.doc_id, r.n_links, r.class_id, r.kept) for r in jaccard_join(docs).collect())
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 0, 4, True)]
+
+
+def test_op6_tiles_are_bounded_by_bytes(spark, monkeypatch):
+    from docstrata.llm import near
+
+    rng = random.Random(2)
+    base = [f"w{k}" for k in range(90)]
+    rows = []
+    for k in range(70):
+        text = list(base)
+        for _ in range(rng.randint(0, 4)):
+            text[rng.randrange(90)] = f"z{k}"
+        rows.append((k, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, jaccard_join(docs).collect()))
+    monkeypatch.setattr(near, "TILE_BYTES", 5_000)
+    assert sorted(map(tuple, jaccard_join(docs).collect())) == want
+
+
 def test_op1_agrees_with_text_and_markup(spark, folder, tmp_path):
     labelled = spark.createDataFrame([("the of and is not that with for", "en"), ("der die das und ist nicht mit für", "de"), (None, "en"), ("x", None)], "text string, lang string")
     from docstrata.llm.langid import identify
