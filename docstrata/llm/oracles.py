@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+import re
 
-from docstrata.llm.licenses import PHRASES, TEMPLATES, _template_words
+from docstrata.llm.licenses import PHRASES, TEMPLATES
 from docstrata.llm.quality import RULES, STOP_WORDS
 
 _LINES = (
@@ -53,11 +54,13 @@ def quality_rules() -> str:
 
 
 def license_scan(threshold: float = 0.9) -> str:
-    """Places by comparing neighbouring words, notices by intersecting each line with each template."""
+    """Places by comparing neighbouring words, notices by counting template words in every window of a text."""
     gap = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     split = lambda x: f"list_filter(regexp_split_to_array(translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{gap}'), lambda x: x <> '')"
-    words = {label: _template_words(text) for label, text in TEMPLATES.items()}
-    templates = " UNION ALL ".join(f"SELECT '{k}' AS label, {math.ceil(threshold * len(v) - 1e-9)} AS need, {v!r} AS ws" for k, v in words.items())
+    said = {label: [w for w in re.split(gap, text.lower()) if w] for label, text in TEMPLATES.items()}
+    templates = " UNION ALL ".join(
+        f"SELECT '{k}' AS label, {math.ceil(threshold * len(set(v)) - 1e-9)} AS need, {max(len(v), math.floor(len(v) / threshold + 1e-9))} AS span, {sorted(set(v))!r} AS ws" for k, v in said.items()
+    )
     at = []
     for phrase, label in PHRASES:
         same = " AND ".join(f"lead(word, {k}) OVER o = '{w}'" if k else f"word = '{w}'" for k, w in enumerate(phrase.split()))
@@ -66,8 +69,11 @@ def license_scan(threshold: float = 0.9) -> str:
         f"WITH docs AS (SELECT doc_id, {split("coalesce(text, '')")} AS ws FROM documents), w AS (SELECT doc_id, unnest(range(len(ws))) AS i, unnest(ws) AS word FROM docs), "
         f"p AS (SELECT doc_id, i, CASE {' '.join(at)} END AS label FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)), "
         "base AS (SELECT doc_id, count(*) AS n, min(i) AS a, max(i) AS z, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM p WHERE label IS NOT NULL GROUP BY doc_id), "
-        f"t AS ({templates}), l AS (SELECT doc_id, list_distinct({split('line')}) AS ws FROM ({_LINES}) q), "
-        "h AS (SELECT doc_id, label, len(list_intersect(t.ws, l.ws)) / len(t.ws) AS score FROM l JOIN t ON len(list_intersect(t.ws, l.ws)) >= t.need), "
+        f"t AS ({templates}), tw AS (SELECT label, unnest(ws) AS word FROM t), m AS (SELECT w.doc_id, w.i, w.word, tw.label FROM w JOIN tw ON tw.word = w.word), "
+        "able AS (SELECT m.doc_id, m.label FROM m JOIN t ON t.label = m.label GROUP BY m.doc_id, m.label, t.need HAVING count(DISTINCT m.word) >= t.need), "
+        "near AS (SELECT m.* FROM m JOIN able ON able.doc_id = m.doc_id AND able.label = m.label), "
+        "spans AS (SELECT a.doc_id, a.label, a.i, count(DISTINCT b.word) AS n FROM near a JOIN t ON t.label = a.label JOIN near b ON b.doc_id = a.doc_id AND b.label = a.label AND b.i BETWEEN a.i AND a.i + t.span - 1 GROUP BY a.doc_id, a.label, a.i), "
+        "h AS (SELECT s.doc_id, s.label, max(s.n) / len(t.ws) AS score FROM spans s JOIN t ON t.label = s.label WHERE s.n >= t.need GROUP BY s.doc_id, s.label, len(t.ws)), "
         "every AS (SELECT doc_id, label FROM p WHERE label IS NOT NULL UNION SELECT doc_id, label FROM h), told AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM every GROUP BY doc_id), best AS (SELECT doc_id, max(score) AS score FROM h GROUP BY doc_id) "
         "SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(b.n, 0) AS BIGINT) AS n_base, CAST(b.a AS BIGINT) AS first_word, CAST(b.z AS BIGINT) AS last_word, coalesce(b.labels, '') AS base_labels, "
         "coalesce(e.labels, '') AS labels, CASE WHEN b.n > 0 THEN CAST(1 AS DOUBLE) ELSE CAST(coalesce(s.score, 0) AS DOUBLE) END AS score "

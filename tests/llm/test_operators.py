@@ -120,12 +120,64 @@ def test_op7(spark, folder, rows):
     assert got == want
 
 
-def test_op7_adds_the_notice_a_line_contains(spark):
+def plain_containments(text, shaped):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(UP))
+    out = {}
+    for label, t in shaped.items():
+        own = set(t["words"])
+        best = max((len(own & set(words[i : i + t["window"]])) for i in range(max(1, len(words) - t["window"] + 1))), default=0)
+        if best >= t["need"]:
+            out[label] = best / len(own)
+    return out
+
+
+def test_op7_against_every_window(spark):
+    from docstrata.llm import licenses as L
+
+    rng = random.Random(6)
+    vocabulary = [f"t{k}" for k in range(12)]
+    templates = {f"n{k}": " ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 14))) for k in range(10)} | {"none": " -- "}
+    common = [f"c{k}" for k in range(40)] + vocabulary[:9]
+    docs = [(k, "".join(w + rng.choice([" ", "\n", ", ", "\n\n"]) for w in (rng.choice(vocabulary if rng.random() < k % 5 / 5 else common) for _ in range(rng.randint(0, 90))))) for k in range(300)] + [(None, None), (5, "")]
+    for threshold in (0.6, 0.9, 1.0):
+        shaped = L.shapes(templates, threshold)
+        want = Counter()
+        for i, t in docs:
+            found = plain_containments(t, shaped)
+            want[i, ",".join(sorted(found)), max(found.values(), default=0.0)] += 1
+        frame = spark.createDataFrame([(i, t, 1, "x") for i, t in docs], "doc_id long, text string, row long, held string").repartition(3)
+        assert Counter((r.doc_id, r.labels, r.score) for r in L.license_scan(frame, templates, threshold).collect()) == want
+
+
+def test_op7_each_filter_rejects_pairs(spark):
+    from docstrata.llm import licenses as L
+
+    rng = random.Random(7)
+    # A rare word with the rest of its notice, alone, and among words rarer than the notice's own.
+    full, rare = "mozilla public license covers this source code form".split(), [f"r{k}" for k in range(6)]
+    docs = [" ".join(full)] + [" ".join(["mozilla", *(f"x{k}" for k in range(9))])] * 3 + [" ".join([*rare, "covers", "mozilla"])] * 2
+    docs += [" ".join(rng.sample(full[1:], 5)) for _ in range(40)]
+    templates = {"full": " ".join(full), "rare": " ".join([*rare, "covers", "mozilla", "public"])}
+    shaped = L.shapes(templates, 0.75)
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    scanned = L.scan(frame, {k: {**t, "need": 1} for k, t in shaped.items()})
+    order = L.ordered_words(scanned)
+    tiled = L.tiles(scanned, order, 12)
+    every = tiled.count() * len(templates)
+    pairs = L.prefix_pairs(tiled, L.postings(spark, shaped, order))
+    long, placed = pairs.where(L.LONG_ENOUGH), pairs.where(L.LONG_ENOUGH).where(L.WELL_PLACED)
+    assert every > pairs.count() > long.count() > placed.count() > 0
+    got = {r.doc_id: r.labels for r in L.license_scan(frame, templates, 0.75).collect()}
+    assert got == {i: ",".join(sorted(plain_containments(t, shaped))) for i, t in enumerate(docs)}
+
+
+def test_op7_labels_notices_by_words_in_a_row(spark):
     from docstrata.llm.licenses import license_scan
 
     docs = spark.createDataFrame([(1, "x\nLicensed under CC BY-NC 4.0."), (2, "licensed under cc by 4.0"), (3, "nothing")], "doc_id long, text string")
     got = {r.doc_id: (r.labels, r.score) for r in license_scan(docs).collect()}
     assert got == {1: ("notice-cc-by-nc-4.0", 1.0), 2: ("", 0.0), 3: ("", 0.0)}
+    assert {r.labels for r in license_scan(docs, templates={}).collect()} == {""}
 
 
 def test_op7_finds_notices_wrapped_over_lines(spark):
@@ -136,8 +188,8 @@ def test_op7_finds_notices_wrapped_over_lines(spark):
     docs, want = [], {}
     for label, notice in TEMPLATES.items():
         words = notice.split()
-        for at in range(1, len(words)):  # at every break, and at any place of a tile
-            text = " ".join([*filler(rng.randrange(90)), *words[:at]]) + "\n * " + " ".join([*words[at:], *filler(rng.randrange(90))])
+        for at in range(1, len(words), 1 + len(words) // 20):  # at breaks, and at any place of a tile
+            text = " ".join([*filler(rng.randrange(300)), *words[:at]]) + "\n * " + " ".join([*words[at:], *filler(rng.randrange(300))])
             want[len(docs)] = label
             docs.append((len(docs), text))
     got = {r.doc_id: r for r in license_scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
