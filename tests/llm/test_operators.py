@@ -241,6 +241,31 @@ def test_op9(spark, folder, rows):
     assert Counter(map(tuple, run(spark, "op9_token_counts", folder))) == want
 
 
+def test_op9_transducer_against_the_merges():
+    from docstrata.llm.tokencount import TokenCounter
+
+    rng = random.Random(9)
+    counter = TokenCounter(public_tokenizers.path("word_bpe_49k.json"))
+    model = counter.vocab.library.model
+    spell = lambda word: "".join(map(counter.vocab.alphabet.__getitem__, word))
+    tokens = [bytes(ord(c) for c in t.removesuffix("</w>")) for t in sorted(counter.vocab.library.get_vocab()) if t.isascii() and t.isalnum()]
+    words = rng.sample(tokens, 3_000) + [rng.choice(tokens) + rng.choice(tokens) for _ in range(3_000)]
+    words += [bytes(rng.choice(b"aehlinost") for _ in range(rng.randint(1, 30))) for _ in range(3_000)]
+    words += [rng.randbytes(rng.randint(1, 20)) for _ in range(1_000)] + [b"a" * k for k in range(1, 200)] + [b"ab" * 3_000, b"!" * 999, "ééü中文".encode() * 9]
+    assert [counter.words.count(w) for w in words] == [len(model.tokenize(spell(w))) for w in words]
+    # States made anew give the same counts.
+    counter.words.MOST_STATES = 50
+    assert [counter.words.count(w) for w in words[::50]] == [len(model.tokenize(spell(w))) for w in words[::50]]
+
+
+def test_op9_special_strings_part_a_text():
+    from docstrata.llm.tokencount import TokenCounter
+
+    counter = TokenCounter(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["a<|endoftext|>b", "<|startoftext|><|endoftext|>", "x <|ENDOFTEXT|> y", "it<|endoftext|>'s <|endoftext", "plain"]
+    assert counter.counts(texts).tolist() == [len(counter.vocab.library.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_op10(spark, folder, rows):
     either = lambda w: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)
     words = "|".join(either(w) for w in ("password", "passwd", "secret", "token")) + "|" + either("api") + "_?" + either("key")
