@@ -6,7 +6,7 @@ import math
 import re
 
 from docstrata.llm.licenses import PHRASES, TEMPLATES
-from docstrata.llm.quality import RULES, STOP_WORDS
+from docstrata.llm.quality import RULES, STOP_WORDS, STOP_WORDS_FROM
 
 _LINES = (
     "SELECT doc_id, unnest(range(len(s))) AS pos, unnest(s) AS line "
@@ -44,8 +44,8 @@ def quality_rules() -> str:
         f"count(*) FILTER (WHERE regexp_matches(line, '([.][.][.]|…){blank}*$')) AS ellipses FROM l GROUP BY doc_id), "
         "facts AS (SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, "
         "coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(stops, 0) AS stops, coalesce(n_lines, 0) AS n_lines, coalesce(bullets, 0) AS bullets, "
-        r"coalesce(ellipses, 0) AS ellipses, length(regexp_replace(text, '\P{L}+', '', 'g')) AS letters FROM docs d LEFT JOIN words USING (doc_id) LEFT JOIN lines USING (doc_id)), "
-        f"ratios AS (SELECT *, {ratio('word_chars', 'n_words')} AS mean_word, {ratio('n_symbols', 'word_chars')} AS symbol_ratio, {ratio('stops', 'n_words')} AS stop_ratio, "
+        r"coalesce(ellipses, 0) AS ellipses, length(regexp_replace(text, '\P{L}+', '', 'g')) AS letters, length(regexp_replace(regexp_replace(text, '\P{L}+', '', 'g'), '[^\x00-\x{24F}]+', '', 'g')) AS latin FROM docs d LEFT JOIN words USING (doc_id) LEFT JOIN lines USING (doc_id)), "
+        f"ratios AS (SELECT *, {ratio('word_chars', 'n_words')} AS mean_word, {ratio('n_symbols', 'word_chars')} AS symbol_ratio, CASE WHEN n_words >= {STOP_WORDS_FROM} AND 2 * latin >= letters THEN {ratio('stops', 'n_words')} END AS stop_ratio, "
         f"{ratio('letters', 'word_chars')} AS alpha_ratio, {ratio('n_dup_lines', 'n_lines')} AS dup_line_ratio, {ratio('bullets', 'n_lines')} AS bullet_ratio, {ratio('ellipses', 'n_lines')} AS ellipsis_ratio FROM facts), "
         f"judged AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, concat_ws(',', {failed}) AS failed_rules FROM ratios) "
         "SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, "

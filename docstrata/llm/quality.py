@@ -1,8 +1,9 @@
 """Quality rules: a threshold table compiled into one Spark projection.
 
 Every measure is a built-in expression over the whole text of a row, so the operator
-is a single scan without shuffle, Python or a limit on text length. The repeated
-three-word windows are found by sorting (window, place) pairs inside the row.
+is a single scan without shuffle, Python or a limit on text length. Repeated three-word
+windows are found by sorting their 64-bit hashes inside the row (two of n windows collide
+with a probability below n * n / 2 ** 65); only a row that repeats many sorts their places.
 """
 
 from __future__ import annotations
@@ -12,27 +13,32 @@ from pyspark.sql import functions as F
 
 from docstrata.llm.common import WHITE, text_of
 
-# Frequent function words of the four languages that are measured.
+# Frequent function words of the languages that are measured.
 STOP_WORDS = {
     "en": "the of and to in is that it for was on are as with his they at be this have from or had by not but",
     "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus",
     "fr": "de la le et les des en un du une que est pour qui dans par plus pas au sur ne se ce il sont",
     "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero",
+    "it": "di e il la che è per un in una non sono da del con si le dei nel al come ma lo alla anche",
+    "pt": "de a o que e do da em um para com não uma os no se na por mais as dos como mas ao ele",
+    "nl": "de van een het en in is dat op te zijn met voor niet aan er om ook als dan maar bij nog uit worden",
 }
+#: Fewer words than this, or letters mostly of other scripts, tell nothing about stop words.
+STOP_WORDS_FROM = 20
 
 #: (rule, measure, comparison that rejects, threshold). A measure that is null rejects nothing.
 #: The rules are lenient: they reject junk that no clean prose of any length comes near.
 RULES = [
-    ("too_long", "n_words", ">", 2_000_000),
     ("word_length_low", "mean_word", "<", 2.0),
     ("word_length_high", "mean_word", ">", 16.0),
-    ("symbols", "symbol_ratio", ">", 0.10),
+    ("symbols", "symbol_ratio", ">", 0.07),
     ("stop_words", "stop_ratio", "<", 0.01),
-    ("alphabetic", "alpha_ratio", "<", 0.60),
+    ("alphabetic", "alpha_ratio", "<", 0.50),
     ("repeated_lines", "dup_line_ratio", ">", 0.50),
     ("bullet_lines", "bullet_ratio", ">", 0.90),
     ("ellipsis_lines", "ellipsis_ratio", ">", 0.50),
 ]
+FEW = 16  # repeated windows up to which places are found by looking each window up
 
 
 def quality_rules(docs: DataFrame, rules=RULES, min_words: int = 50, max_repeat: float = 0.5, carry: list[str] | None = None) -> DataFrame:
@@ -49,22 +55,19 @@ def quality_rules(docs: DataFrame, rules=RULES, min_words: int = 50, max_repeat:
     """
     row = [F.struct(*carry).alias("row_")] if carry else []
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text_"), *row)
-    words = F.filter(F.split("text_", f"[{WHITE}]+"), lambda w: w != "")
+    bare = F.btrim("text_", F.lit(" \t\n\x0b\x0c\r"))
+    words = F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, f"[{WHITE}]+"))
     lines = F.filter(F.split("text_", "\n"), lambda x: x.rlike(f"[^{WHITE}]"))
     stop = sorted({w for ws in STOP_WORDS.values() for w in ws.split()})
     split = base.withColumns({"words_": words, "lines_": lines})
     n = F.size("words_").cast("long")
     word_chars = F.length(F.translate("text_", " \t\n\x0b\x0c\r", "")).cast("long")
     symbols = (F.length("text_") - F.length(F.translate("text_", "#*$%&|<>", ""))).cast("long")
-    windows = F.when(
-        F.size("words_") >= 3,
-        F.sort_array(
-            F.transform(
-                F.sequence(F.lit(0), F.size("words_") - 3),
-                lambda i: F.struct(F.concat_ws(" ", F.slice("words_", i + 1, 3)).alias("w"), i.alias("i")),
-            )
-        ),
-    )
+    hashed = F.transform("words_", lambda w: F.xxhash64(w))
+    window = lambda i: F.xxhash64(F.get("hashed_", i), F.get("hashed_", i + 1), F.get("hashed_", i + 2))
+    windows = F.when(F.size("words_") >= 3, F.transform(F.sequence(F.lit(0), F.size("words_") - 3), window))
+    letters = F.regexp_replace("text_", r"\P{L}+", "")
+    split = split.withColumns({"hashed_": hashed, "letters_": letters})
     counted = split.select(
         *(["row_"] if carry else []),
         "doc_id",
@@ -76,20 +79,20 @@ def quality_rules(docs: DataFrame, rules=RULES, min_words: int = 50, max_repeat:
         F.size("lines_").alias("n_lines_"),
         F.size(F.filter("lines_", lambda x: x.rlike(rf"^[{WHITE}]*[-*+•]"))).alias("bullets_"),
         F.size(F.filter("lines_", lambda x: x.rlike(rf"(\.\.\.|…)[{WHITE}]*$"))).alias("ellipses_"),
-        F.length(F.regexp_replace("text_", r"\P{L}+", "")).alias("letters_"),
+        F.length("letters_").alias("letters_"),
+        F.length(F.regexp_replace("letters_", r"[^\x00-\x{24F}]+", "")).alias("latin_"),
         F.size(F.filter("words_", lambda w: F.lower(w).isin(stop))).alias("stops_"),
     )
+    counted = counted.withColumn("sorted_", F.sort_array("win_"))
+    twice = F.array_distinct(F.filter("sorted_", lambda x, k: F.coalesce(x == F.get("sorted_", k - 1), F.lit(False))))
+    counted = counted.withColumn("twice_", twice).drop("sorted_")
+    placed = F.sort_array(F.transform("win_", lambda x, i: F.struct(x.alias("w"), i.alias("i"))))
+    counted = counted.withColumn("placed_", F.when(F.size("twice_") > FEW, placed))
     same = lambda x, y: x["w"] == y["w"]
-    starts = F.sort_array(
-        F.transform(
-            F.filter(
-                "win_",
-                lambda x, k: F.coalesce(same(x, F.get("win_", k - 1)), F.lit(False))
-                | F.coalesce(same(x, F.get("win_", k + 1)), F.lit(False)),
-            ),
-            lambda x: x["i"],
-        )
-    )
+    meets = lambda x, k: F.coalesce(same(x, F.get("placed_", k - 1)), F.lit(False)) | F.coalesce(same(x, F.get("placed_", k + 1)), F.lit(False))
+    many = F.sort_array(F.transform(F.filter("placed_", meets), lambda x: x["i"]))
+    few = F.filter(F.transform("win_", lambda x, i: F.when(F.array_contains("twice_", x), i)), lambda i: i.isNotNull())
+    starts = F.when(F.size("twice_") == 0, F.array().cast("array<int>")).when(F.col("placed_").isNull(), few).otherwise(many)
     covered = F.aggregate(
         starts,
         F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")),
@@ -102,7 +105,7 @@ def quality_rules(docs: DataFrame, rules=RULES, min_words: int = 50, max_repeat:
             "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
             "mean_word": ratio("word_chars", "n_words"),
             "symbol_ratio": ratio("n_symbols", "word_chars"),
-            "stop_ratio": ratio("stops_", "n_words"),
+            "stop_ratio": F.when((F.col("n_words") >= STOP_WORDS_FROM) & (2 * F.col("latin_") >= F.col("letters_")), ratio("stops_", "n_words")),
             "alpha_ratio": ratio("letters_", "word_chars"),
             "dup_line_ratio": ratio("n_dup_lines", "n_lines_"),
             "bullet_ratio": ratio("bullets_", "n_lines_"),
