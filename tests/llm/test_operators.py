@@ -290,6 +290,80 @@ def test_novelty_reports_random_keys_only():
     assert scanner.novel("serial q7Zr9XkP2mVt8LwYb4Nc6Hs1 on a plain line", []) == []
 
 
+def plain_contexts(text):
+    """Characters of sensitive lines, of the lines that they announce, and of key blocks, one by one."""
+    from docstrata.llm.secrets import ANNOUNCES, SENSITIVE
+
+    lines, held, block, at = text.split("\n"), set(), False, 0
+    announced = False
+    for line in lines:
+        here = range(at, at + len(line))
+        if announced:
+            held.update(here)
+        announced = False
+        if SENSITIVE.search(line):
+            held.update(here)
+            announced = bool(ANNOUNCES.search(line[-80:]))
+        if block and re.fullmatch(r"\s*(?:[A-Za-z0-9+/=]{8,}|[A-Za-z-]+: .*)?\s*", line):
+            held.update(here)
+        else:
+            block = False
+        if m := re.search(r"-----BEGIN [A-Z0-9 ]*KEY(?: BLOCK)?-----", line):
+            block = True
+            held.update(range(at + m.end(), at + len(line)))
+        at += len(line) + 1
+    return held
+
+
+def labelled_texts():
+    """(text, keys): planted secrets, and look-alikes that no key stands in."""
+    rng = random.Random(11)
+    letters, digits = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    key = lambda n, alphabet=letters + digits: "".join(rng.choice(alphabet) for _ in range(n))
+    prose = "The service reads its settings at the start and keeps them until the process ends, as the manual of the release says.\n"
+    out = []
+    for _ in range(60):
+        k, body = key(rng.randint(20, 40)), [key(64, letters + digits + "+/") for _ in range(3)]
+        low, jwt = key(24, letters[:26]), ".".join(key(n, letters + digits + "_-") for n in (36, 80, 43))
+        out += [
+            (f"{prose}private_key:\n  {k}\n{prose}", [k]),
+            (f"{prose}the password is {low}\n{prose}", [low]),
+            (f"{prose}Authorization: Bearer {jwt}\n{prose}", [jwt]),
+            (f"{prose}-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(body) + f"\n-----END RSA PRIVATE KEY-----\n{prose}", body),
+            (f"{prose}signing-key {k} rotated\n{prose}", [k]),
+        ]
+    names = ["user_authentication_service", "get_access_token_response", "DefaultCredentialsProvider", "client.session.request_token", "com.example.security.PasswordEncoder", "https/www.example.com/password/reset", "private_network_configuration", "2026-01-02_03.04.05.678901", "12345678901234567890"]
+    for name in names:
+        out += [(f"{prose}the token of {name} is set elsewhere\n{prose}{filler}", []) for filler in ("", prose, name, f"class {name}\n")]
+    out += [(f"{prose}build {key(32)} is a release\n{prose}", []) for _ in range(30)]
+    return out
+
+
+def test_op10_spans_of_planted_secrets_and_look_alikes(spark, tmp_path):
+    from docstrata.llm.secrets import CANDIDATE, IDENTIFIER, KINDS, LEAST, PART, PART_SHARED
+
+    held = labelled_texts()
+    spark.createDataFrame([(i, t, "x", "y") for i, (t, _) in enumerate(held)], "doc_id long, text string, base string, spans string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.spans for r in run(spark, "op10_secret_scan", str(tmp_path))}
+    shared = Counter(p for name in {m[0] for t, _ in held for m in re.finditer(IDENTIFIER, t)} for p in {x.lower() for x in re.findall(PART, name)})
+    scanner = Scanner(parts=[p for p, n in sorted(shared.items(), key=lambda x: (x[1], [-ord(c) for c in x[0]])) if n >= PART_SHARED])
+    hit = wrong = missed = 0
+    for i, (text, keys) in enumerate(held):
+        inside, spans = plain_contexts(text), list(scanner.base(text))
+        known = {x for a, b, _ in spans for x in range(a, b)}
+        for m in CANDIDATE.finditer(text):
+            a, b = m.span()
+            if b - a >= LEAST and a in inside and re.search("[A-Za-z]", m[0]) and not known & set(range(a, b)):
+                if scanner.novel(text[:a] + text[a:b] + text[b:], [(0, a, 0), (b, len(text), 0)]):
+                    spans.append((a, b, 3))
+        assert got[i] == ",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k in sorted(spans, key=lambda x: (x[0], x[2])))
+        told = [text[int(a) : int(b)] for _, a, b in (x.split(":") for x in got[i].split(",") if x)]
+        hit += sum(any(k in t for t in told) for k in keys)
+        missed += sum(not any(k in t for t in told) for k in keys)
+        wrong += sum(not any(k in t for k in keys) for t in told)
+    assert hit / (hit + missed) >= 0.95 and hit / (hit + wrong) >= 0.97, (hit, missed, wrong)
+
+
 def test_op6(spark, rows):
     docs = spark.createDataFrame([(i, t, "x") for i, t, *_ in rows], "doc_id long, text string, rep string")
     sets = {}
