@@ -11,6 +11,7 @@ holds a third of the pages costs no more than others.
 
 from __future__ import annotations
 
+import html
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,11 +29,11 @@ SMOOTH = 0.5
 MAX_LANGUAGES = 500  # bound of what the model broadcasts
 
 
-def page_text(html: Column) -> Column:
-    """The visible text of a page: no comments, scripts, styles, head or tags."""
-    bare = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|head|nav)\b.*?</\1\s*>", " ")
+def page_text(source: Column) -> Column:
+    """The visible text of a page, entities as written: no comments, scripts, styles, head or tags."""
+    bare = F.regexp_replace(source, r"(?is)<!--.*?-->|<(script|style|head|nav)\b.*?</\1\s*>", " ")
     bare = F.regexp_replace(bare, r"(?s)<[^>]*>", " ")
-    return F.regexp_replace(F.regexp_replace(bare, "&[a-zA-Z#0-9]+;", " "), r"\s+", " ")
+    return F.regexp_replace(bare, r"\s+", " ")
 
 
 def trigram_counts(texts: list[str]) -> np.ndarray:
@@ -54,6 +55,13 @@ def trigram_counts(texts: list[str]) -> np.ndarray:
     return out
 
 
+def counts_of_texts(texts: list[str]) -> np.ndarray:
+    """trigram_counts, long texts in slices."""
+    if max(map(len, texts), default=0) <= 10**6:
+        return trigram_counts(texts)
+    return np.array([trigram_counts(slices(t)).sum(axis=0) for t in texts])
+
+
 def fit_text_model(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """(languages, log P(trigram | language)) from all labelled rows (text, lang).
 
@@ -66,7 +74,7 @@ def fit_text_model(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
             langs = np.array(batch.column("lang").to_pylist())
             for lo in range(0, len(langs), 1000):
                 texts = batch.column("text").slice(lo, 1000).to_pylist()
-                rows = trigram_counts(texts)
+                rows = counts_of_texts(texts)
                 for lang in set(langs[lo : lo + 1000].tolist()):
                     sums[lang] = sums.get(lang, 0) + rows[langs[lo : lo + 1000] == lang].sum(axis=0, dtype=np.float64)
         for lang, v in sums.items():
@@ -77,7 +85,8 @@ def fit_text_model(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     found: dict[str, np.ndarray] = {}
     for row in fitted.toLocalIterator():
         found.setdefault(row["lang"], np.zeros(FEATURES))[row["i"]] = row["v"]
-        assert len(found) <= MAX_LANGUAGES, "the text model is broadcast"
+        if len(found) > MAX_LANGUAGES:
+            raise ValueError(f"more than {MAX_LANGUAGES} labels: the text model goes to every task, {FEATURES} numbers a label")
     langs = sorted(found)
     table = np.array([found[x] for x in langs]).reshape(len(langs), FEATURES) + SMOOTH
     return langs, np.log(table / table.sum(axis=1, keepdims=True))
@@ -90,7 +99,7 @@ def _text_evidence(pages: DataFrame, langs: list[str], model: np.ndarray) -> Dat
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
-                counts = np.array([sum(trigram_counts(slices(t))) if len(t) > 10**6 else trigram_counts([t])[0] for t in part.column("text").to_pylist()])
+                counts = counts_of_texts([html.unescape(t) for t in part.column("text").to_pylist()])
                 n = counts.sum(axis=1, keepdims=True)
                 ll = (counts @ model.T) * np.minimum(1, EVIDENCE / np.maximum(n, 1))
                 ll -= ll.max(axis=1, keepdims=True)
@@ -117,8 +126,9 @@ def identify(pages: DataFrame, labelled: DataFrame) -> DataFrame:
     probability; text_lang the language by text alone, null for a page without letters. A
     null url has the empty host; null or missing declarations and texts carry no evidence. A
     page's own text is left out of the prior of its host. Repeated rows are counted each; a
-    null page_id is returned as null. Without labelled rows lang is null and confidence 0.
-    Other columns are not read.
+    null page_id is returned as null; pages and labelled texts of any length count whole.
+    Without labelled rows lang is null and confidence 0. Other columns are not read; an empty
+    table of pages gives an empty result.
     """
     langs, model = fit_text_model(labelled)
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
