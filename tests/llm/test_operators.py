@@ -500,10 +500,60 @@ def test_pipeline_stages(spark, tmp_path):
         assert made.columns == columns, name
         docs = spark.createDataFrame(made.collect(), made.schema)
         out[name] = docs.collect()
-    assert {r.doc_id for r in out["quality"]} == set(range(32))
+    assert {r.doc_id for r in out["quality"]} == set(range(33))  # short texts stay
     told = {r.doc_id: r.text for r in out["repeated_lines"]}
     assert told[0] == held[0] and told[5] == held[5].removesuffix("\nread more here")
-    assert sorted(r.doc_id for r in out["near_duplicates"]) == list(range(30))
-    assert {r.doc_id for r in out["mixing"]} <= set(range(30))
+    assert sorted(r.doc_id for r in out["near_duplicates"]) == [*range(30), 32]
+    assert {r.doc_id for r in out["mixing"]} <= {*range(30), 32}
     pieces = C.STAGES[-1][1](spark, docs, "").collect()
     assert sum(r.length for r in pieces if r.start == 0) > 0 and {r.doc_id for r in pieces} == {r.doc_id for r in out["mixing"]}
+
+
+ODD = "doc_id long, text string, lang string, source string, bitmap binary, text_key long, row_ string, rep int, kept boolean, h long, `_1` map<string,int>"
+
+
+def odd_rows():
+    rng = random.Random(12)
+    prose = lambda n: " ".join(rng.choice(["the", "of", "and", *(f"word{rng.randrange(900)}" for _ in range(4))]) for _ in range(n))
+    extra = lambda k: (b"x", k, "r", k, k % 2 == 0, k, {"a": k})
+    rows = [(k, prose(80), "en" if k % 3 else None, f"src{k % 4}" if k % 5 else None, *extra(k)) for k in range(30)]
+    rows += [rows[0], (0, rows[0][1], "en", "src9", *extra(99)), (1, prose(80), "en", "src1", *extra(5))]  # repeated row, repeated text, two texts of one id
+    rows += [(None, prose(60), None, None, *[None] * 7), (None, None, None, None, *[None] * 7), (40, None, "en", "src1", *[None] * 7), (41, "", "en", "src1", *[None] * 7), (42, " \n\t ", "en", "src1", *[None] * 7)]
+    rows += [(50, "one long line " * 20_000, "en", "src1", *[None] * 7), (51, prose(30_000), "en", "src1", *[None] * 7), (52, "x" * 200_000, "en", "src1", *[None] * 7)]
+    return rows
+
+
+@pytest.mark.parametrize("name", ["quality", "repeated_lines", "near_duplicates", "mixing", "packing"])
+def test_pipeline_stages_with_odd_rows_and_clashing_names(spark, name):
+    import corpus_pipeline as C
+
+    rows = odd_rows()
+    stage = dict(C.STAGES)[name]
+    docs = spark.createDataFrame(rows, ODD).repartition(4)
+    made = stage(spark, docs, "")
+    got = made.collect()
+    empty = stage(spark, docs.limit(0), "")
+    assert empty.collect() == [] and empty.columns == made.columns
+    if name == "packing":
+        library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+        want = Counter()
+        for i, t, *_ in rows:
+            want[i] += len(library.encode(t or "", add_special_tokens=False).ids) + 1
+        assert sum((Counter({r.doc_id: r.length}) for r in got), Counter()) == want
+        return
+    assert made.columns == docs.columns
+    key = lambda r: (r[0], r[1], *map(str, r[2:]))
+    counts = Counter(key(tuple(r)) for r in got)
+    every = Counter(map(key, [tuple(r) for r in docs.collect()]))
+    if name == "mixing":
+        assert set(counts) <= set(every)
+        return
+    assert counts <= every or name == "repeated_lines"
+    left = Counter(r[0] for r in got)
+    if name == "quality":
+        assert left == Counter({**dict.fromkeys(range(2, 30), 1), 0: 3, 1: 2, None: 1, 51: 1})
+    elif name == "repeated_lines":
+        assert sum(left.values()) == len(rows) and {r.text for r in got if r.doc_id == 40} == {None}
+    else:
+        assert left == Counter([*range(30), 1, None, None, 40, 41, 42, 50, 51, 52])
+        assert [r.source for r in got if r.doc_id == 0] == [min([rows[0], rows[31]], key=lambda r: str(r[3] or ""))[3]]
