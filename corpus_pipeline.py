@@ -19,10 +19,11 @@ REPEATED_LINE_DOCS = 10
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality rules keep (operator 4).
 
-    A row is judged for itself: null and empty texts go, repeated rows and rows without a
+    A text need not be long to be clean: only the measures of the text decide, not the 50 words
+    that the operator asks for by default. A row is judged for itself: null and empty texts go, repeated rows and rows without a
     doc_id are judged by their text. An empty table stays empty. Columns of any name pass.
     """
-    return quality_rules(docs, carry=docs.columns).where("kept").select("row_.*")
+    return quality_rules(docs, min_words=1, carry=docs.columns).where("kept").select("row_.*")
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
