@@ -15,6 +15,7 @@ remain are verified exactly on their shingle sets.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -125,6 +126,7 @@ def set_hash(s: np.ndarray) -> tuple[int, int]:
     return (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63)
 
 
+@functools.cache
 def least_matches(n: int, threshold: float, tolerance: float) -> int:
     """The fewest equal values of n with which P(similarity >= threshold) is at least tolerance."""
     for m in range(n + 1):
