@@ -110,7 +110,7 @@ class WordTransducer:
     the count now), one for each token that may be under way.
     """
 
-    MOST_STATES = 100_000  # bounded memory: beyond it the states are made anew
+    MOST_STATES = 300_000  # bounded memory: beyond it the states are made anew
 
     def __init__(self, merges: list[tuple[str, str]], end_mark: str, alphabet: dict[int, str]):
         symbols = {c: b for b, c in alphabet.items()} | {c + end_mark: 256 + b for b, c in alphabet.items()}
@@ -137,6 +137,7 @@ class WordTransducer:
                     self.token.append(-1)
                 node = self.child[key]
             self.token[node] = t
+        self.inner = {key >> 9 for key in self.child}  # places from which a longer token leads on
         self.apart: dict[int, bool] = {}
         self._begin()
 
@@ -172,7 +173,8 @@ class WordTransducer:
             child = self.child.get(node << 9 | symbol)
             if child is None:
                 continue
-            moved.append((child, before, count))
+            if child in self.inner:
+                moved.append((child, before, count))
             t = self.token[child]
             if t >= 0 and last < 0 and (before < 0 or self.stay_apart(before, t)):
                 last, now = t, count + 1
