@@ -5,7 +5,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from docstrata.operators.sequential import first_json_object, layout_levels, select_disjoint_groups
-from docstrata.sources.files import docx_blocks, markdown_lines, read_responses, write_json_lines
+from docstrata.sources.files import docx_definitions, docx_records, markdown_lines, media_preservation, non_text_objects, read_responses, unread_files, write_json_lines
 from docstrata.streaming.responses import response_stream
 
 NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -17,25 +17,41 @@ def test_markdown_lines_keep_order(spark, tmp_path):
     assert [(r.pos, r.line) for r in rows] == [(0, "# T"), (1, ""), (2, "x")]
 
 
-def test_docx_blocks(spark, tmp_path):
+def test_word_files(spark, tmp_path):
     held = io.BytesIO()
+    numbering = '<w:abstractNum w:abstractNumId="0"><w:lvl w:ilvl="0"><w:start w:val="1"/><w:numFmt w:val="decimal"/><w:lvlText w:val="%1)"/></w:lvl></w:abstractNum><w:num w:numId="7"><w:abstractNumId w:val="0"/><w:lvlOverride w:ilvl="0"><w:startOverride w:val="4"/></w:lvlOverride></w:num>'
     with zipfile.ZipFile(held, "w") as z:
-        z.writestr("word/document.xml", f'<w:document {NS}><w:body><w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>A</w:t></w:r></w:p><w:tbl><w:t>c</w:t></w:tbl></w:body></w:document>')
+        z.writestr("word/document.xml", f'<w:document {NS}><w:body><w:p><w:r><w:t>A</w:t><w:drawing/></w:r></w:p></w:body></w:document>')
+        z.writestr("word/numbering.xml", f"<w:numbering {NS}>{numbering}</w:numbering>")
+        z.writestr("word/media/a.png", b"x")
     (tmp_path / "a.docx").write_bytes(held.getvalue())
     (tmp_path / "b.docx").write_bytes(b"no zip")
-    rows = docx_blocks(spark, str(tmp_path)).orderBy("path", "pos").collect()
-    assert [(r.kind, r.style, r.text) for r in rows[:2]] == [("paragraph", "Heading1", "A"), ("table", None, "c")]
-    assert rows[2].kind == "error"
+    assert [tuple(r)[1:] for r in docx_definitions(spark, str(tmp_path)).collect()] == [(7, 0, "decimal", "%1)", "", 4)]
+    objects = non_text_objects(spark, str(tmp_path))
+    assert [tuple(r)[1:] for r in objects.collect()] == [(1, 1, 0)]
+    assert [r.path.rsplit("/", 1)[-1] for r in unread_files(spark, str(tmp_path)).collect()] == ["b.docx"]
+    assert [r.ratio for r in media_preservation(objects, objects).collect()] == [1.0]
+    assert [r.ratio for r in media_preservation(objects, objects.limit(0)).collect()] == [0.0]
+    assert [r.t for r in docx_records(spark, str(tmp_path)).collect()] == ["A"]
 
 
 def test_responses_round_trip_and_stream(spark, tmp_path):
     rows = spark.createDataFrame([("1", "r1", "{}", "h"), ("1", "r1", "{}", "h"), ("1", "r2", None, "h")], "protocol_version string, request_id string, raw_response string, input_hash string")
     write_json_lines(rows, str(tmp_path / "out"))
     assert read_responses(spark, str(tmp_path / "out")).count() == 3
-    query = response_stream(spark, str(tmp_path / "out")).writeStream.format("memory").queryName("answers").option("checkpointLocation", str(tmp_path / "state")).start()
+    held = {}
+
+    def keep(batch, _):
+        held.update({r.request_id: r.raw_response for r in batch.collect()})
+
+    query = response_stream(spark, str(tmp_path / "out")).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "state")).start()
+    query.processAllAvailable()
+    assert held == {"r1": "{}", "r2": None}
+    later = spark.createDataFrame([("1", "r1", "{\"a\": 1}", "h")], rows.schema)
+    later.write.mode("append").json(str(tmp_path / "out"))
     query.processAllAvailable()
     query.stop()
-    assert sorted(r.request_id for r in spark.table("answers").collect()) == ["r1", "r2"]
+    assert held == {"r1": "{\"a\": 1}", "r2": None}
 
 
 def test_first_json_object(spark):
