@@ -37,7 +37,14 @@ NOTE = "^(备注：|编写提示：|【备注提示】|【编写样例】)"
 NUMBERED_NOTE = "^注[1-5]：|^注："
 DATE = r"^[0-9]{4}\s*年\s*[0-9]{1,2}\s*月"
 TOC_ENTRY = r"[\t.·…]+[0-9]{1,4}$"
+OWN_NUMBER = "CASE WHEN hier IS NOT NULL THEN num ELSE '' END"  # what strip_heading takes off a block
 PAGE_TAIL = r"[\t ]+[0-9]+$"
+APPENDIX_MARK = r"(?i)^附\s*录\s*[A-Z](\s*|[：:].*)$"
+APPENDIX_ID = r"(?i)^附\s*录\s*([A-Z])([^A-Za-z]|$)"
+APPENDIX_CANDIDATE = r"(?i)^附\s*录(?:\s*([A-Z]))?(?:\s*[：:]\s*.+|\s+.+)?$"
+APPENDIX_HEADING = r"(?i)^\s*([A-Z])(([.．][0-9]+){1,3})[\s、：:.)）-]*(.*)$"
+IMAGE = r"^!\[[^\]]*\]\([^)]*\)$"
+ORDERED = r"^([A-Za-z]\)|[0-9]+[.)、]|[（(][0-9]+[）)])"
 UNORDERED = "^[-–—－•·●○■□▪▫◆◇▶▷►▻※★☆✓✔]"
 
 

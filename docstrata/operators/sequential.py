@@ -31,6 +31,15 @@ def select_disjoint_groups(groups: DataFrame) -> DataFrame:
     return groups.groupBy("doc_id", "run").applyInPandas(choose, groups.schema)
 
 
+def retyped_items(groups: DataFrame, lines: DataFrame, sure: float = 0.85) -> DataFrame:
+    """(doc_id, pos, list_type, level, restart) of the lines (doc_id, run, i, pos) in sure groups (M2)."""
+    chosen = groups.where(F.col("confidence") >= sure).withColumn("i", F.explode(F.sequence(F.col("start_i") + 1, F.col("end_i"))))
+    unordered = (F.col("ordered") < 0.6) & (F.col("markers") >= 0.6)
+    return chosen.join(lines.select("doc_id", "run", "i", "pos"), ["doc_id", "run", "i"]).select(
+        "doc_id", "pos", F.when(unordered, "dash").otherwise("lower_letter_paren").alias("list_type"), F.lit(0).cast("long").alias("level"), (F.col("i") == F.col("start_i") + 1).alias("restart")
+    )
+
+
 def layout_levels(rows: DataFrame, gap: int = 120, deepest: int = 8) -> DataFrame:
     """(doc_id, run, left_twips, level): the indents that begin a new level (W10), by a fold over the sorted ones."""
     starts = F.aggregate(

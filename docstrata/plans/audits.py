@@ -22,7 +22,7 @@ def n(x: str, name: str) -> str:
 def _normal(d) -> str:
     """blocks with their normalized text and the repair that made it."""
     return (
-        b.blocks(d) + f", normal AS (SELECT *, CASE WHEN block_type = 'heading' THEN {fn.strip_heading(d, fn.strip(d, d.replace('t', '^#+ ')), chr(39) * 2)} WHEN block_type = 'list_item' THEN {fn.strip_list(d, 't')} "
+        b.blocks(d) + f", normal AS (SELECT *, CASE WHEN block_type = 'heading' THEN {fn.strip_heading(d, 't', fn.OWN_NUMBER)} WHEN block_type = 'list_item' THEN {fn.strip_list(d, 't')} "
         f"WHEN role = 'note' THEN {fn.strip(d, d.replace('t', fn.NOTE))} ELSE t END AS t2, CASE WHEN block_type = 'heading' THEN 'heading_number_removed' WHEN block_type = 'list_item' THEN 'list_marker_removed' WHEN role = 'note' THEN 'note_prefix_removed' END AS repair FROM blocks)"
     )
 
@@ -100,7 +100,7 @@ def residue(d):
 
 def appendix_header_merge(d):
     """An appendix line and the caption or body after it as one title."""
-    return f"{b.neighbours(d)}, nx AS (SELECT doc_id, pos, t, block_type, lead(t) OVER (PARTITION BY doc_id ORDER BY pos) AS nt, after FROM neighbours) SELECT doc_id, pos, CASE WHEN after = 'body' THEN concat(t, ' ', nt) ELSE t END AS title FROM nx WHERE block_type = 'appendix'"
+    return f"{b.blocks(d)}{b.neighbours(d)}, nx AS (SELECT doc_id, pos, t, block_type, lead(t) OVER (PARTITION BY doc_id ORDER BY pos) AS nt, after FROM neighbours) SELECT doc_id, pos, CASE WHEN after = 'body' THEN concat(t, ' ', nt) ELSE t END AS title FROM nx WHERE block_type = 'appendix'"
 
 
 def excluded_positions(d):
@@ -120,15 +120,6 @@ def title_injection(d):
     )
 
 
-def caption_placement(d):
-    """Captions before their tables and an empty one for each table that has none, in a new order."""
-    return (
-        f"{b.neighbours(d)}, placed AS (SELECT doc_id, pos * 3 + CASE WHEN block_type = 'caption' AND before = 'table' AND coalesce(after, '') <> 'table' THEN -4 ELSE 1 END AS o, block_type, t FROM neighbours "
-        "UNION ALL SELECT doc_id, pos * 3 AS o, 'caption' AS block_type, '' AS t FROM neighbours WHERE table_start AND coalesce(before, '') <> 'caption') "
-        f"SELECT doc_id, {n('row_number() OVER (PARTITION BY doc_id ORDER BY o, block_type)', 'ord')}, block_type, t FROM placed"
-    )
-
-
 def template_roles(d):
     """The first alias of each role that the styles in use hold."""
     aliases = " UNION ALL ".join(f"SELECT '{r}' AS role, '{s}' AS style, {k} AS priority" for r, s, k in (("body", "正文", 1), ("body", "Normal", 2), ("caption", "题注", 1), ("caption", "Caption", 2), ("toc", "TOC 1", 1)))
@@ -190,7 +181,7 @@ PLANS = {
     f.__name__: f
     for f in (
         repairs, repair_counts, style_usage, style_roles, note_preservation, list_preservation, caption_counts, origin_counts, output_structure, residue,
-        appendix_header_merge, excluded_positions, title_injection, caption_placement, template_roles, prompt_texts, report_rows, review_validation,
+        appendix_header_merge, excluded_positions, title_injection, template_roles, prompt_texts, report_rows, review_validation,
         level_overrides, role_overrides,
     )
 }

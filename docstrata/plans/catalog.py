@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docstrata.functions import text as fn
 from docstrata.operators import blocks as b
-from docstrata.plans import audits
+from docstrata.plans import audits, records
 from docstrata.plans.dialect import Ansi, Spark
 
 PLANS: dict[str, Callable] = {}
@@ -36,6 +36,12 @@ def block_type_counts(d):
     return f"{b.blocks(d)} SELECT x.lang, b.block_type, b.role, {n('count(*)', 'n')} FROM blocks b JOIN {d.table('documents')} x ON x.doc_id = b.doc_id GROUP BY x.lang, b.block_type, b.role"
 
 
+@plan
+def block_counts(d):
+    """Blocks of a document by type, a table being one (A1)."""
+    return f"{b.units(d)} SELECT doc_id, block_type, {n('count(*)', 'n')} FROM units GROUP BY doc_id, block_type"
+
+
 @plan
 def hier_heading_levels(d):
     return f"{b.blocks(d)} SELECT doc_id, pos, num, {n('hier', 'level')} FROM blocks WHERE num <> ''"
@@ -48,7 +54,7 @@ def heading_levels(d):
 
 @plan
 def strip_heading(d):
-    return f"{b.blocks(d)} SELECT doc_id, pos, {fn.strip_heading(d, 't')} AS text FROM blocks WHERE block_type = 'heading'"
+    return f"{b.blocks(d)} SELECT doc_id, pos, {fn.strip_heading(d, 't', fn.OWN_NUMBER)} AS text FROM blocks WHERE block_type = 'heading'"
 
 
 @plan
@@ -103,14 +109,24 @@ def unordered_candidates(d):
 # Tables (SC2-SC4, PF12-PF16, A8, A11)
 
 
-def _tables(d) -> str:
+def _table_rows(d) -> str:
+    """rows_, kept and cells of the tables in blocks; separator rows are left out."""
     return (
-        b.blocks(d) + ", rows_ AS (SELECT doc_id, pos, t, table_start, sum(CASE WHEN table_start THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS tid FROM blocks WHERE block_type = 'table'), "
+        "rows_ AS (SELECT doc_id, pos, t, table_start, sum(CASE WHEN table_start THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS tid FROM blocks WHERE block_type = 'table'), "
         f"kept AS (SELECT doc_id, tid, pos, t, row_number() OVER (PARTITION BY doc_id, tid ORDER BY pos) - 1 AS r FROM rows_ WHERE NOT {d.matches('t', '^[-| ]+$')}), "
         f"cells AS ({d.matches_all('kept', 'doc_id, tid, r', 't', '[|]([^|]+)')})"
     )
 
 
+def _table_facts(d) -> str:
+    payload = d.matches("item", "^[ ]*[{<]|HTTP/|[{].*[:\"]")
+    return f"facts AS (SELECT doc_id, tid, count(*) AS n_cells, sum(CASE WHEN {payload} THEN 1 ELSE 0 END) AS n_payload, max(length(item)) AS longest, max(r) + 1 AS n_rows FROM cells GROUP BY doc_id, tid)"
+
+
+def _tables(d) -> str:
+    return f"{b.blocks(d)}, {_table_rows(d)}"
+
+
 @plan
 def md_tables(d):
     return f"{_tables(d)} SELECT doc_id, {n('tid', 'tid')}, {n('min(pos)', 'start_pos')}, {n('count(*)', 'n_rows')} FROM kept GROUP BY doc_id, tid"
@@ -123,9 +139,8 @@ def table_cells(d):
 
 @plan
 def table_class(d):
-    payload = d.matches("item", "^[ ]*[{<]|HTTP/|[{].*[:\"]")
     return (
-        f"{_tables(d)}, facts AS (SELECT doc_id, tid, count(*) AS n_cells, sum(CASE WHEN {payload} THEN 1 ELSE 0 END) AS n_payload, max(length(item)) AS longest, max(r) + 1 AS n_rows FROM cells GROUP BY doc_id, tid) "
+        f"{_tables(d)}, {_table_facts(d)} "
         f"SELECT doc_id, {n('tid', 'tid')}, {n('n_cells', 'n_cells')}, CASE WHEN n_payload * 4 >= n_cells AND n_payload > 0 THEN 'code_sample' WHEN n_rows = 1 THEN 'layout' ELSE 'data' END AS table_type, (n_payload * 4 < n_cells AND n_rows > 1) AS caption_eligible FROM facts"
     )
 
@@ -190,6 +205,15 @@ def group_scores(d):
     return f"{b.body_groups(d)} SELECT doc_id, {n('run', 'run')}, {n('start_i', 'start_i')}, {n('end_i', 'end_i')}, confidence, CASE WHEN confidence >= 85e-2 THEN 'auto' ELSE 'review' END AS status FROM grouped WHERE confidence >= 65e-2"
 
 
+FAMILY = "CASE WHEN ordered >= 6e-1 THEN 'visible_ordered_marker' WHEN markers >= 6e-1 THEN 'visible_unordered_marker' ELSE 'semantic_default_ordered' END"
+
+
+@plan
+def group_families(d):
+    """Whether a group of lines is an ordered or an unordered list, and why."""
+    return f"{b.body_groups(d)} SELECT doc_id, {n('run', 'run')}, {n('start_i', 'start_i')}, {n('end_i', 'end_i')}, {FAMILY} AS source, CASE {FAMILY} WHEN 'visible_unordered_marker' THEN 'unordered' ELSE 'ordered' END AS family, CASE {FAMILY} WHEN 'semantic_default_ordered' THEN 5e-1 ELSE 92e-2 END AS confidence FROM grouped WHERE confidence >= 65e-2"
+
+
 # Numbering
 
 
@@ -208,11 +232,6 @@ def num_groups_logical(d):
     )
 
 
-@plan
-def list_status(d):
-    return f"{b.deco_num(d)}, g AS (SELECT doc_id, gid, count(*) AS size, min(ilvl) AS lo, max(ilvl) AS hi FROM physical GROUP BY doc_id, gid) SELECT doc_id, CASE WHEN size > 1 AND lo = hi THEN 'detected' WHEN size > 1 THEN 'ambiguous' ELSE 'ignored' END AS status, {n('count(*)', 'n')} FROM g GROUP BY doc_id, CASE WHEN size > 1 AND lo = hi THEN 'detected' WHEN size > 1 THEN 'ambiguous' ELSE 'ignored' END"
-
-
 @plan
 def list_level_jumps(d):
     return f"{b.deco_num(d)}, s AS (SELECT doc_id, gid, pos, level, lag(level) OVER (PARTITION BY doc_id, gid ORDER BY pos) AS prev FROM physical) SELECT doc_id, pos, {n('prev', 'prev')}, {n('level', 'level')} FROM s WHERE level > prev + 1"
@@ -228,17 +247,39 @@ def list_start_overrides(d):
 
 @plan
 def caption_adjacency(d):
-    return f"{b.neighbours(d)} SELECT doc_id, pos, caption_type, CASE WHEN before = 'table' AND after = 'table' THEN 'ambiguous' WHEN after = 'table' THEN 'after' WHEN before = 'table' THEN 'before' ELSE 'orphan' END AS placement FROM neighbours WHERE block_type = 'caption'"
+    """Captions with the object that they are associated with, or why with none."""
+    return f"{b.captions(d)} SELECT doc_id, pos, caption_type, status, {n('CASE WHEN status = ' + chr(39) + 'associated' + chr(39) + ' THEN object_i END', 'object_i')}, CASE WHEN a = 1 AND b = 0 THEN 'before' WHEN b = 1 AND a = 0 THEN 'after' END AS placement, moved FROM judged_captions"
 
 
 @plan
 def caption_missing(d):
-    return f"{b.neighbours(d)} SELECT doc_id, pos AS table_pos FROM neighbours WHERE table_start AND coalesce(before, '') <> 'caption'"
+    """Tables without a caption (W20), and whether an ambiguous one keeps them from getting one."""
+    return f"{b.captions(d)} SELECT u.doc_id, u.pos AS table_pos, (x.i IS NOT NULL) AS blocked FROM units u LEFT JOIN owned o ON o.doc_id = u.doc_id AND o.i = u.i LEFT JOIN blocked x ON x.doc_id = u.doc_id AND x.i = u.i WHERE u.block_type = 'table' AND o.i IS NULL"
+
+
+def _rebuilt(d) -> str:
+    """captions with rebuilt: the order in which a table follows, and a figure precedes, its caption."""
+    return (
+        b.captions(d) + ", rebuilt AS (SELECT u.doc_id, u.pos, u.i, u.block_type, u.t, CASE WHEN c.object_i IS NOT NULL THEN c.object_i * 4 + CASE WHEN c.caption_type = 'table' THEN 0 ELSE 3 END ELSE u.i * 4 + 2 END AS o "
+        "FROM units u LEFT JOIN (SELECT doc_id, pos, object_i, caption_type FROM judged_captions WHERE status = 'associated') c ON c.doc_id = u.doc_id AND c.pos = u.pos)"
+    )
 
 
 @plan
 def caption_order(d):
-    return f"{b.neighbours(d)} SELECT doc_id, pos, {n('row_number() OVER (PARTITION BY doc_id ORDER BY pos * 3 + CASE WHEN block_type = ' + chr(39) + 'caption' + chr(39) + ' THEN 0 ELSE 1 END)', 'new_ord')} FROM neighbours"
+    """The place of each block when captions stand where they belong."""
+    return f"{_rebuilt(d)} SELECT doc_id, pos, {n('i', 'old_ord')}, {n('row_number() OVER (PARTITION BY doc_id ORDER BY o)', 'new_ord')} FROM rebuilt"
+
+
+@plan
+def caption_placement(d):
+    """Blocks with captions where they belong, and one with a new id for each data table that can have one."""
+    return (
+        f"{_rebuilt(d)}, {_table_rows(d)}, {_table_facts(d)}, bare AS (SELECT u.doc_id, u.i, row_number() OVER (PARTITION BY u.doc_id ORDER BY u.i) AS serial FROM units u JOIN facts f ON f.doc_id = u.doc_id AND f.tid = u.tid WHERE u.block_type = 'table' AND f.n_payload * 4 < f.n_cells AND f.n_rows > 1 "
+        "AND NOT EXISTS (SELECT 1 FROM owned o WHERE o.doc_id = u.doc_id AND o.i = u.i) AND NOT EXISTS (SELECT 1 FROM blocked x WHERE x.doc_id = u.doc_id AND x.i = u.i)), "
+        "placed AS (SELECT doc_id, o, block_type, t, CAST(NULL AS VARCHAR(40)) AS caption_id FROM rebuilt UNION ALL SELECT doc_id, i * 4 + 1 AS o, 'caption' AS block_type, '' AS t, concat('caption-auto-', CAST(serial AS VARCHAR(20))) AS caption_id FROM bare) "
+        f"SELECT doc_id, {n('row_number() OVER (PARTITION BY doc_id ORDER BY o)', 'ord')}, block_type, t, caption_id FROM placed"
+    )
 
 
 @plan
@@ -266,59 +307,73 @@ def review_context(d):
 # Appendices
 
 
-@plan
-def appendix_ranges(d):
-    return (
-        f"{b.blocks(d)}, a AS (SELECT *, sum(CASE WHEN block_type = 'appendix' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM blocks) "
-        f"SELECT doc_id, {n('k', 'ordinal')}, chr(CAST(64 + least(k, 26) AS INT)) AS appendix_id, {n('min(pos)', 'start_pos')}, {n('max(pos) + 1', 'end_pos')}, {n('count(*)', 'n_blocks')}, {n('min(CASE WHEN block_type = ' + chr(39) + 'heading' + chr(39) + ' THEN level END)', 'base_level')} FROM a WHERE k > 0 GROUP BY doc_id, k"
-    )
+def _letters(k: str) -> str:
+    """A to Z, AA to ZZ and so on for 1, 2, ... (F18), up to three letters."""
+    digit = lambda x: f"chr(CAST(65 + {x} AS INT))"
+    one, two, three = f"({k} - 1) % 26", f"floor(({k} - 27) / 26e0) % 26", f"floor(({k} - 703) / 676e0) % 26"
+    return f"CASE WHEN {k} <= 26 THEN {digit(one)} WHEN {k} <= 702 THEN concat({digit(two)}, {digit(one)}) ELSE concat({digit(three)}, {digit(two)}, {digit(one)}) END"
 
 
-@plan
-def appendix_scores(d):
+def _ranges(d) -> str:
+    """blocks with k, the appendix they lie in, and ids, its id: that of its title, else by its number."""
     return (
-        f"{b.blocks(d)}, placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS total, "
-        "max(CASE WHEN block_type IN ('body', 'heading', 'table', 'list_item') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS content FROM blocks) "
-        f"SELECT doc_id, pos, round(least(1e0, 6e-1 + CASE WHEN {d.matches('t', '附录[A-Z]')} THEN 3e-1 ELSE 0e0 END + CASE WHEN i >= 7e-1 * greatest(1, total - 1) THEN 15e-2 ELSE 0e0 END + CASE WHEN content = 1 THEN 1e-1 ELSE 0e0 END), 3) AS confidence FROM placed WHERE block_type IN ('appendix', 'body') AND t LIKE '%附录%'"
+        f"{b.blocks(d)}, a AS (SELECT *, sum(CASE WHEN block_type = 'appendix' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM blocks), "
+        f"ids AS (SELECT doc_id, k, CASE WHEN {d.extract('t', fn.APPENDIX_ID, 1)} <> '' THEN upper({d.extract('t', fn.APPENDIX_ID, 1)}) ELSE {_letters('k')} END AS appendix_id, t FROM a WHERE block_type = 'appendix')"
     )
 
 
-# Table of contents
+@plan
+def appendix_ids(d):
+    """The id of each appendix by its number (F18), and the one that its title names."""
+    return f"{_ranges(d)} SELECT doc_id, {n('k', 'ordinal')}, {_letters('k')} AS by_number, appendix_id FROM ids"
 
 
-def _toc(d) -> str:
-    tail = d.replace("line", r"[\t ]+[0-9]+$")
+@plan
+def appendix_ranges(d):
     return (
-        f"WITH {b.deco_lines(d)}, h AS (SELECT doc_id, pos, {d.replace('line', '^#+ ')} AS t, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM deco_lines WHERE line LIKE '## %' OR line LIKE '###### %'), "
-        "toc AS (SELECT doc_id, n - 1000 AS pos, concat(t, chr(9), CAST(n AS VARCHAR(10))) AS line FROM h), "
-        f"entries AS (SELECT doc_id, pos, {d.replace(tail, r'[ \t]+')} AS norm FROM toc), heads AS (SELECT doc_id, pos, {d.replace('t', r'[ \t]+')} AS norm FROM h)"
+        f"{_ranges(d)} SELECT a.doc_id, {n('a.k', 'ordinal')}, max(i.appendix_id) AS appendix_id, {n('min(a.pos)', 'start_pos')}, {n('max(a.pos) + 1', 'end_pos')}, {n('count(*)', 'n_blocks')}, {n('min(CASE WHEN a.block_type = ' + chr(39) + 'heading' + chr(39) + ' AND a.level > 0 THEN a.level END)', 'base_level')} "
+        "FROM a JOIN ids i ON i.doc_id = a.doc_id AND i.k = a.k WHERE a.k > 0 GROUP BY a.doc_id, a.k"
     )
 
 
 @plan
-def toc_entry_overlap(d):
-    return f"{_toc(d)}, bounds AS (SELECT doc_id, max(pos) AS end_pos FROM entries GROUP BY doc_id) SELECT e.doc_id, {n('count(*)', 'n_overlap')} FROM entries e JOIN bounds x ON x.doc_id = e.doc_id WHERE EXISTS (SELECT 1 FROM heads h WHERE h.doc_id = e.doc_id AND h.norm = e.norm AND h.pos > x.end_pos) GROUP BY e.doc_id"
+def appendix_headings(d):
+    """Headings inside an appendix with their level in it (W21): by their visible number, else by the hierarchy."""
+    visible = lambda g: d.extract("t", fn.APPENDIX_HEADING, g)
+    return (
+        f"{_ranges(d)}, inside AS (SELECT a.*, i.appendix_id, min(CASE WHEN a.block_type = 'heading' AND a.level > 0 THEN a.level END) OVER (PARTITION BY a.doc_id, a.k) AS base FROM a JOIN ids i ON i.doc_id = a.doc_id AND i.k = a.k WHERE a.block_type <> 'appendix'), "
+        f"seen AS (SELECT *, CASE WHEN upper({visible(1)}) = appendix_id THEN length({visible(2)}) - length(replace(replace({visible(2)}, '．', '.'), '.', '')) END AS shown, {visible(4)} AS rest FROM inside), "
+        "related AS (SELECT doc_id, pos, appendix_id, shown, CASE WHEN shown IS NOT NULL THEN rest ELSE t END AS text, coalesce(shown, CASE WHEN block_type = 'heading' AND level > 0 THEN level - base + 1 END) AS relative FROM seen) "
+        f"SELECT doc_id, {n('pos', 'pos')}, appendix_id, {n('relative', 'level')}, {fn.strip(d, 'text')} AS text, CASE WHEN shown IS NOT NULL THEN 'visible_appendix_number' ELSE 'relative_heading_hierarchy' END AS source FROM related WHERE relative BETWEEN 1 AND 3"
+    )
 
 
-def _toc_scored(d) -> str:
+def _appendix_candidates(d) -> str:
+    bare = d.replace("t", "^#+ ")
     return (
-        f"{_toc(d)}, starts AS (SELECT doc_id, pos AS start_pos FROM entries), spans AS (SELECT s.doc_id, s.start_pos, max(e.pos) AS end_pos, count(*) AS n_entries, "
-        "sum(CASE WHEN h.norm IS NOT NULL THEN 1 ELSE 0 END) AS repeats FROM starts s JOIN entries e ON e.doc_id = s.doc_id AND e.pos BETWEEN s.start_pos AND s.start_pos + 99 "
-        "LEFT JOIN (SELECT DISTINCT doc_id, norm FROM heads) h ON h.doc_id = e.doc_id AND h.norm = e.norm GROUP BY s.doc_id, s.start_pos), "
-        "toc_scores AS (SELECT *, round(least(1e0, 1e-1 + CASE WHEN n_entries >= 2 THEN 2e-1 ELSE 0e0 END + CASE WHEN n_entries >= 5 THEN 1e-1 ELSE 0e0 END + 2e-1 + CASE WHEN repeats > 0 THEN 25e-2 ELSE 0e0 END), 3) AS confidence FROM spans)"
-    )
+        f"{b.blocks(d)}, placed AS (SELECT *, {bare} AS mark, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS total, lag(page_before) OVER (PARTITION BY doc_id ORDER BY pos) AS page_last, sum(CASE WHEN block_type = 'appendix' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS k, "
+        "max(CASE WHEN block_type IN ('heading', 'body', 'table', 'image', 'caption', 'list_item') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS content FROM blocks), "
+        f"marked AS (SELECT *, upper({d.extract('mark', fn.APPENDIX_CANDIDATE, 1)}) AS own_id, CASE WHEN block_type = 'heading' AND level > 0 THEN level END AS own_level FROM placed WHERE block_type = 'appendix' OR (block_type IN ('body', 'heading') AND {d.matches('mark', fn.APPENDIX_CANDIDATE)})), "
+        "peers AS (SELECT m.doc_id, m.pos FROM marked m JOIN placed h ON h.doc_id = m.doc_id AND h.k = m.k AND h.pos > m.pos AND h.block_type = 'heading' AND h.level > 0 AND h.level <= m.own_level GROUP BY m.doc_id, m.pos), "
+        "weighed AS (SELECT m.doc_id, m.pos, m.mark, m.own_id, m.block_type, CASE WHEN m.block_type = 'appendix' THEN 1e0 ELSE 6e-1 + CASE WHEN m.own_id <> '' THEN 3e-1 ELSE 0e0 END + CASE WHEN m.i >= 7e-1 * greatest(1, m.total - 1) THEN 15e-2 ELSE 0e0 END + CASE WHEN m.page_before THEN 2e-1 ELSE 0e0 END + CASE WHEN m.content = 1 THEN 1e-1 ELSE 0e0 END "
+        "+ CASE m.own_level WHEN 1 THEN 15e-2 WHEN 2 THEN 5e-2 ELSE 0e0 END + CASE WHEN m.own_level IS NOT NULL AND p.pos IS NULL THEN 1e-1 ELSE 0e0 END - CASE WHEN m.own_level >= 3 AND m.num_fmt = 'decimal' AND m.lvl_text LIKE '%\\%%' THEN 4e-1 ELSE 0e0 END END AS score FROM marked m LEFT JOIN peers p ON p.doc_id = m.doc_id AND p.pos = m.pos)"
+    ).replace("LIKE '%\\%%'", "IS NOT NULL")
 
 
 @plan
-def toc_candidates(d):
-    return f"{_toc_scored(d)} SELECT doc_id, {n('start_pos', 'start_pos')}, {n('end_pos', 'end_pos')}, {n('n_entries', 'n_entries')}, confidence FROM toc_scores WHERE confidence >= 4e-1"
+def appendix_scores(d):
+    """How sure a block is to begin an appendix (W13); 0.70 is enough."""
+    return f"{_appendix_candidates(d)} SELECT doc_id, {n('pos', 'pos')}, round(greatest(0e0, least(1e0, score)), 3) AS confidence, (block_type = 'appendix' OR score >= 7e-1 - 1e-9) AS accepted FROM weighed"
 
 
 @plan
-def toc_select(d):
+def appendix_titles(d):
+    """Accepted candidates as appendices, with the id they name or that of their number, title and classification."""
+    text = fn.strip(d, d.replace("mark", r"(?i)^附\s*录(\s*[A-Z])?\s*[：:]?"))
+    kind = d.extract("title", "^[（(](规范性|资料性)[)）]", 1)
     return (
-        f"{_toc_scored(d)}, ranked AS (SELECT *, row_number() OVER w AS k, lead(confidence) OVER w AS next FROM toc_scores WHERE confidence >= 4e-1 WINDOW w AS (PARTITION BY doc_id ORDER BY confidence DESC, start_pos)) "
-        f"SELECT doc_id, {n('start_pos', 'start_pos')}, confidence, CASE WHEN confidence >= 75e-2 AND confidence - coalesce(next, 0e0) >= 15e-2 THEN 'detected' ELSE 'ambiguous' END AS status FROM ranked WHERE k = 1"
+        f"{_appendix_candidates(d)}, accepted AS (SELECT doc_id, pos, own_id, {text} AS title, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM weighed WHERE block_type = 'appendix' OR score >= 7e-1 - 1e-9) "
+        f"SELECT doc_id, {n('pos', 'pos')}, CASE WHEN own_id <> '' THEN own_id ELSE {_letters('k')} END AS appendix_id, {kind} AS classification, {fn.strip(d, d.replace('title', '^[（(](规范性|资料性)[)）]'))} AS title FROM accepted"
     )
 
 
@@ -339,24 +394,6 @@ def html_blocks(d):
     return f"{_page_rows(d)} SELECT page_id, {n('pos', 'pos')}, style, {fn.strip(d, 't')} AS text FROM records WHERE t <> ''"
 
 
-def _title_scores(d) -> str:
-    return (
-        f"{_page_rows(d)}, cleaned AS (SELECT page_id, pos, style, {fn.strip(d, 't')} AS t FROM records), "
-        "scored AS (SELECT *, CASE WHEN style = 'title' THEN 100e0 ELSE 0e0 END + CASE WHEN length(t) BETWEEN 4 AND 60 THEN 12e0 ELSE 0e0 END + CASE WHEN style = 'h1' THEN 10e0 ELSE 0e0 END "
-        f"+ greatest(0e0, 8e0 - greatest(pos, 0) * 5e-1) AS score FROM cleaned WHERE t <> '' AND length(t) <= 100 AND NOT {d.matches('t', '[。；;]$')})"
-    )
-
-
-@plan
-def title_top1(d):
-    return f"{_title_scores(d)}, ranked AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pos) AS k FROM scored) SELECT page_id, t AS title, score FROM ranked WHERE k = 1 AND score >= 4e1"
-
-
-@plan
-def cover_score(d):
-    return f"{_title_scores(d)} SELECT page_id, {n('CASE WHEN max(score) >= 40 THEN 2 ELSE 0 END - CASE WHEN max(length(t)) > 90 THEN 3 ELSE 0 END', 'score')} FROM scored GROUP BY page_id"
-
-
 # Comparison of models
 
 
@@ -390,67 +427,126 @@ def fingerprint(d):
     return f"{_signatures(d)} SELECT doc_id, {n('count(*)', 'n_blocks')}, {d.sha256(d.listed('signature', 'pos'))} AS fingerprint FROM signed GROUP BY doc_id"
 
 
-@plan
-def signature_diff(d):
-    return f"{_signatures(d)} SELECT a.doc_id, a.pos, a.signature FROM signed a WHERE a.block_type = 'heading' AND NOT EXISTS (SELECT 1 FROM signed c WHERE c.doc_id = a.doc_id AND c.signature = a.signature AND c.pos <> a.pos)"
+def _candidate(d) -> str:
+    """blocks with candidate: the same after normalization, markers taken off and kinds asked anew."""
+    mark = f"CASE WHEN block_type = 'heading' THEN {fn.strip_heading(d, 't', fn.OWN_NUMBER)} WHEN block_type = 'list_item' THEN {fn.strip_list(d, 't')} WHEN role = 'note' THEN {fn.strip(d, d.replace('t', fn.NOTE))} ELSE t END"
+    return (
+        f"{b.blocks(d)}, cleaned AS (SELECT doc_id, pos, {mark} AS t, table_start, block_type, role, level, list_type FROM blocks), dotted AS (SELECT *, {fn.dotted_number(d, 't')} AS num FROM cleaned), "
+        f"candidate AS (SELECT *, {fn.hierarchical_level(d, 't')} AS hier, CASE WHEN block_type = 'list_item' THEN {fn.list_kind(d, 't')} END AS kind FROM dotted)"
+    )
 
 
-# Findings, scores and decisions (U2, A6, A7, V1, V7, PF25, PF26)
+SIGNATURE = "concat_ws(chr(31), block_type, role, coalesce(CAST(level AS VARCHAR(10)), ''), coalesce(list_type, ''), t)"
 
 
-def _findings(d) -> str:
+@plan
+def signature_diff(d):
+    """Blocks that a candidate changes though no decision names them (U6): here decisions name headings."""
     return (
-        f"{b.neighbours(d)}, heads AS (SELECT doc_id, pos, level, lag(level) OVER (PARTITION BY doc_id ORDER BY pos) AS prev FROM blocks WHERE block_type = 'heading' AND level > 0), "
-        "findings AS (SELECT doc_id, pos, 'heading_jump' AS category, 'medium' AS severity FROM heads WHERE level > prev + 1 "
-        "UNION ALL SELECT doc_id, pos, 'first_below_one' AS category, 'high' AS severity FROM heads WHERE prev IS NULL AND level > 1 "
-        f"UNION ALL SELECT doc_id, pos, 'heading_manual_number' AS category, 'high' AS severity FROM blocks WHERE block_type = 'heading' AND {fn.residual_number(d, 't')} "
-        "UNION ALL SELECT doc_id, pos, 'list_manual_marker' AS category, 'medium' AS severity FROM blocks WHERE block_type = 'list_item' AND kind IS NOT NULL "
-        "UNION ALL SELECT doc_id, pos, 'caption_orphan' AS category, 'medium' AS severity FROM neighbours WHERE block_type = 'caption' AND coalesce(before, '') <> 'table' AND coalesce(after, '') <> 'table' "
-        "UNION ALL SELECT doc_id, pos, 'table_without_caption' AS category, 'low' AS severity FROM neighbours WHERE table_start AND coalesce(before, '') <> 'caption' "
-        "UNION ALL SELECT doc_id, pos, 'invariant:appendix_title_empty' AS category, 'critical' AS severity FROM blocks WHERE block_type = 'appendix' AND length(t) < 5)"
+        f"{_candidate(d)}, x AS (SELECT doc_id, pos, {d.sha256(SIGNATURE)} AS signature, block_type FROM blocks), y AS (SELECT doc_id, pos, {d.sha256(SIGNATURE)} AS signature FROM candidate) "
+        "SELECT x.doc_id, x.pos, x.block_type FROM x LEFT JOIN y ON y.doc_id = x.doc_id AND y.pos = x.pos WHERE x.block_type <> 'heading' AND (y.signature IS NULL OR y.signature <> x.signature)"
     )
 
 
+# Findings, scores and decisions (U2, U5, A6, A7, F29, V1, V7, PF22, PF23, PF25, PF26)
+
+# What the audits find, and how severe it is.
+SEVERITY = {
+    "heading_jump": "medium", "first_below_one": "high", "heading_manual_number": "high", "list_manual_marker": "medium", "caption_orphan": "medium", "table_without_caption": "low",
+    "invariant:appendix_title_empty": "critical", "invariant:heading_empty": "critical", "invariant:list_text_empty": "high", "heading_too_deep": "low",
+}
+
+
+def _findings(d, relation: str = "blocks", name: str = "findings") -> str:
+    """, findings AS (doc_id, pos, category, severity) of a relation, in one pass over it."""
+    rules = {
+        "heading_jump": "block_type = 'heading' AND level > prev + 1",
+        "first_below_one": "block_type = 'heading' AND level > 1 AND prev IS NULL",
+        "heading_manual_number": f"block_type = 'heading' AND {fn.residual_number(d, 't')}",
+        "list_manual_marker": "block_type = 'list_item' AND kind IS NOT NULL",
+        "caption_orphan": "block_type = 'caption' AND coalesce(before, '') NOT IN ('table', 'image') AND coalesce(after, '') NOT IN ('table', 'image')",
+        "table_without_caption": "table_start AND coalesce(before, '') <> 'caption'",
+        "invariant:appendix_title_empty": "block_type = 'appendix' AND length(t) < 5",
+        "invariant:heading_empty": f"block_type = 'heading' AND {d.replace('t', '^#+')} = ''",
+        "invariant:list_text_empty": "block_type = 'list_item' AND t = ''",
+        "heading_too_deep": "block_type = 'heading' AND level >= 5",
+    }
+    items = [f"CASE WHEN {rule} THEN '{category}' END" for category, rule in rules.items()]
+    severity = " ".join(f"WHEN '{c}' THEN '{s}'" for c, s in SEVERITY.items())
+    return f"{b.neighbours(d, relation, name + '_near')}, {name}_found AS ({d.each('doc_id, pos', items, name + '_near')}), {name} AS (SELECT doc_id, pos, item AS category, CASE item {severity} END AS severity FROM {name}_found)"
+
+
 @plan
 def findings_union(d):
-    return f"{_findings(d)} SELECT doc_id, pos, category, severity FROM findings"
+    return f"{b.blocks(d)}{_findings(d)} SELECT doc_id, pos, category, severity FROM findings"
 
 
 @plan
 def validate_model(d):
-    return f"{_findings(d)} SELECT category, severity, {n('count(*)', 'n')}, {n('count(DISTINCT doc_id)', 'n_docs')} FROM findings GROUP BY category, severity"
+    return f"{b.blocks(d)}{_findings(d)} SELECT category, severity, {n('count(*)', 'n')}, {n('count(DISTINCT doc_id)', 'n_docs')} FROM findings GROUP BY category, severity"
 
 
-def _scores(d) -> str:
+def _scores(d, findings: str = "findings", name: str = "scores") -> str:
     one = lambda s: f"sum(CASE WHEN severity = '{s}' THEN 1 ELSE 0 END)"
-    return f"{_findings(d)}, scores AS (SELECT doc_id, sum(CASE WHEN category LIKE 'invariant:%' THEN 1 ELSE 0 END) AS invariant, {one('critical')} AS critical, {one('high')} AS high, {one('medium')} AS medium, {one('low')} AS low FROM findings GROUP BY doc_id)"
+    return f", {name} AS (SELECT doc_id, sum(CASE WHEN category LIKE 'invariant:%' THEN 1 ELSE 0 END) AS invariant, {one('critical')} AS critical, {one('high')} AS high, {one('medium')} AS medium, {one('low')} AS low FROM {findings} GROUP BY doc_id)"
 
 
 @plan
 def audit_score(d):
-    return f"{_scores(d)} SELECT doc_id, {n('critical', 'critical')}, {n('high', 'high')}, {n('medium', 'medium')}, {n('low', 'low')}, {n('1000 * (critical + invariant) + 100 * high + 10 * medium + low', 'score')} FROM scores"
+    return f"{b.blocks(d)}{_findings(d)}{_scores(d)} SELECT doc_id, {n('critical', 'critical')}, {n('high', 'high')}, {n('medium', 'medium')}, {n('low', 'low')}, {n('1000 * (critical + invariant) + 100 * high + 10 * medium + low', 'score')} FROM scores"
+
+
+def _two_models(d) -> str:
+    return f"{_candidate(d)}{_findings(d)}{_findings(d, 'candidate', 'left_over')}"
+
+
+@plan
+def unresolved_targets(d):
+    """Findings of headings and list items that the candidate still has (U5): an intersection."""
+    pick = "SELECT f.doc_id, f.pos, f.category FROM {} f JOIN blocks x ON x.doc_id = f.doc_id AND x.pos = f.pos WHERE x.block_type IN ('heading', 'list_item')"
+    return f"{_two_models(d)}, unsolved AS ({pick.format('findings')} INTERSECT SELECT doc_id, pos, category FROM left_over) SELECT doc_id, pos, category FROM unsolved"
 
 
 @plan
 def accept_decision(d):
+    """Whether the candidate is taken (V7, F29): no new risk, and better in the first severity where the two differ."""
+    score = ["invariant", "critical", "high", "medium", "low"]
+    pairs = ", ".join(f"coalesce(x.{c}, 0) AS {c}, coalesce(y.{c}, 0) AS {c}2" for c in score)
+    better = "CASE " + " ".join(f"WHEN {c}2 <> {c} THEN {c}2 < {c}" for c in score) + " ELSE false END"
     return (
-        f"{_scores(d)}, repaired AS (SELECT doc_id, invariant, critical, high, medium, low, 0 AS medium2 FROM scores) "
-        "SELECT doc_id, (medium2 < medium) AS accepted, CASE WHEN medium2 < medium THEN 'improved' ELSE 'no_strict_improvement' END AS reason FROM repaired"
+        f"{_two_models(d)}{_scores(d)}{_scores(d, 'left_over', 'scores2')}, every AS (SELECT DISTINCT doc_id FROM blocks), both_ AS (SELECT e.doc_id, {pairs} FROM every e LEFT JOIN scores x ON x.doc_id = e.doc_id LEFT JOIN scores2 y ON y.doc_id = e.doc_id), "
+        f"judged_ AS (SELECT *, CASE WHEN critical2 > critical OR high2 > high THEN 'new_or_increased_high_risk_findings' WHEN NOT ({better}) THEN 'audit_score_did_not_improve' ELSE 'audit_score_improved' END AS reason FROM both_) "
+        "SELECT doc_id, (reason = 'audit_score_improved') AS accepted, reason FROM judged_"
     )
 
 
+@plan
+def review_packet(d):
+    """Findings that a review can repair, with the two blocks on either side (PF23, W9)."""
+    w = "OVER (PARTITION BY doc_id ORDER BY pos)"
+    around = ", ".join(f"{f}(t, {k}) {w} AS {name}" for f, k, name in (("lag", 2, "p2"), ("lag", 1, "p1"), ("lead", 1, "n1"), ("lead", 2, "n2")))
+    return f"{b.blocks(d)}{_findings(d)}, around AS (SELECT doc_id, pos, t, {around} FROM blocks) SELECT f.doc_id, f.pos, f.category, f.severity, a.t, a.p2, a.p1, a.n1, a.n2 FROM findings f JOIN around a ON a.doc_id = f.doc_id AND a.pos = f.pos WHERE f.category NOT LIKE 'invariant:%' AND f.severity <> 'low'"
+
+
+SHORT = "block_type = 'body' AND role = 'body' AND length(t) <= 30 AND "
+
+
 def _suspicion(d) -> str:
+    """suspicion (doc_id, total, score): the seven signals of a Markdown text; it has no visual headings, so one is 0."""
     one = lambda c: f"sum(CASE WHEN {c} THEN 1 ELSE 0 END)"
-    body, short = "block_type = 'body'", "block_type = 'body' AND length(t) <= 30"
+    short = SHORT + f"NOT {d.matches('t', '[。；;，,]$')}"
+    part = lambda x, y: f"least({x} / (1e0 * greatest({y}, 1)), 1e0)"
     return (
-        f"{b.blocks(d)}, s AS (SELECT doc_id, count(*) AS total, greatest({one(body)}, 1) AS n_body, {one(short)} AS short_body, {one('kind IS NULL AND ' + d.matches('t', fn.UNORDERED))} AS unordered, "
-        f"{one('table_start')} AS n_table FROM blocks GROUP BY doc_id), "
-        "suspicion AS (SELECT doc_id, total, round(2e-1 * least(greatest(short_body, unordered) / (1e0 * n_body), 1e0) + 1e-1 * least(n_table / (1e0 * total), 1e0), 4) AS score FROM s)"
+        f"{b.body_groups(d)}, sized AS (SELECT doc_id, count(*) AS total, {one("block_type = 'body'")} AS n_body, {one("block_type = 'heading'")} AS n_heading, {one("block_type = 'list_item'")} AS n_list, {one(short)} AS n_short, {one('kind IS NULL AND ' + d.matches('t', fn.UNORDERED))} AS n_unordered, "
+        f"{one("block_type = 'heading' AND hashes = 0")} AS inferred_headings, {one("block_type = 'list_item'")} AS inferred_lists, {one("block_type = 'body'")} AS unstyled, {one('table_start')} AS n_table, {one("block_type = 'image'")} AS n_image FROM blocks WHERE block_type <> 'table' OR table_start GROUP BY doc_id), "
+        "suspicion AS (SELECT doc_id, total, round(least(1e0, "
+        f"2e-1 * {part('greatest(n_short, n_unordered)', 'n_body')} + 15e-2 * {part('inferred_headings', 'n_heading')} + 1e-1 * {part('inferred_lists', 'n_list')} + 15e-2 * {part('unstyled', 'n_body')} + 1e-1 * {part('n_table', 'total')} + 5e-2 * {part('n_image', 'total')}), 4) AS score FROM sized)"
     )
 
 
 @plan
 def suspicion_score(d):
+    """How unsure the structure of a document is."""
     return f"{_suspicion(d)} SELECT doc_id, score FROM suspicion"
 
 
@@ -461,9 +557,13 @@ def auto_gate_lists(d):
 
 
 @plan
-def auto_gate_toc(d):
-    """Documents whose table of contents is reviewed by itself (PF27): those where the choice is ambiguous."""
-    return f"SELECT x.doc_id, (c.status IS NOT NULL AND c.status = 'ambiguous') AS runs FROM (SELECT DISTINCT doc_id FROM {d.table('documents')}) x LEFT JOIN ({toc_select(d)}) c ON c.doc_id = x.doc_id"
+def suspicious_sections(d):
+    """Sections with a block that needs a second look, all of a document's where none has one (PF22, PF24)."""
+    doubt = f"CASE WHEN ({SHORT}NOT {d.matches('t', '[。；;，,]$')}) OR (block_type = 'heading' AND hashes = 0) OR (kind IS NULL AND {d.matches('t', fn.UNORDERED)}) THEN 1 ELSE 0 END"
+    return (
+        f"{b.sections(d)}, doubted AS (SELECT doc_id, sid, max({doubt}) AS doubt, count(*) AS n_blocks, min(pos) AS start_pos FROM sections GROUP BY doc_id, sid), every AS (SELECT *, max(doubt) OVER (PARTITION BY doc_id) AS any_doubt FROM doubted) "
+        f"SELECT doc_id, {n('sid', 'sid')}, {n('start_pos', 'start_pos')}, {n('n_blocks', 'n_blocks')}, (doubt = 1) AS suspicious FROM every WHERE doubt = 1 OR any_doubt = 0"
+    )
 
 
 @plan
@@ -487,16 +587,16 @@ def content_warnings(d):
     has = lambda p: f"max(CASE WHEN {d.matches('t', p)} THEN 1 ELSE 0 END)"
     rules = [("toc", "^(目次|目录)$"), ("references", "引用文件|依据文件"), ("terms", "术语|缩略语"), ("formula", r"公式|^\(?[0-9]+\)?$"), ("appendix", "^附录|^（?(资料性|规范性)）?$"), ("figure_table_notes", "图.*注|注.*图|脚注")]
     facts = ", ".join(f"{has(p)} AS has_{name}" for name, p in rules)
-    rows = " UNION ALL ".join(f"SELECT doc_id, '{name}' AS warning FROM facts WHERE has_{name} = 1" for name, _ in rules)
-    return f"{b.blocks(d)}, facts AS (SELECT doc_id, {facts} FROM blocks GROUP BY doc_id) {rows}"
+    items = [f"CASE WHEN has_{name} = 1 THEN '{name}' END" for name, _ in rules]
+    return f"{b.blocks(d)}, facts AS (SELECT doc_id, {facts} FROM blocks GROUP BY doc_id), told AS ({d.each('doc_id', items, 'facts')}) SELECT doc_id, item AS warning FROM told"
 
 
 @plan
 def risk_warnings(d):
-    return (
-        f"{_scores(d)} SELECT doc_id, 'residual_markers' AS risk, {n('medium', 'n')} FROM scores WHERE medium >= 3 UNION ALL SELECT doc_id, 'manual_numbers' AS risk, {n('high', 'n')} FROM scores WHERE high >= 1 "
-        f"UNION ALL SELECT doc_id, 'invariants' AS risk, {n('invariant', 'n')} FROM scores WHERE invariant >= 1"
-    )
+    """Risks of a document by what its audits found (PF26, in part): one pass, one aggregate."""
+    risks = [("residual_markers", "medium", 3), ("manual_numbers", "high", 1), ("invariants", "invariant", 1), ("critical_findings", "critical", 1), ("minor_findings", "low", 5)]
+    items = [f"CASE WHEN {c} >= {k} THEN concat('{name}|', CAST({c} AS VARCHAR(20))) END" for name, c, k in risks]
+    return f"{b.blocks(d)}{_findings(d)}{_scores(d)}, told AS ({d.each('doc_id', items, 'scores')}) SELECT doc_id, {d.extract('item', '^([a-z_]+)', 1)} AS risk, CAST({d.extract('item', '([0-9]+)$', 1)} AS BIGINT) AS n FROM told"
 
 
 @plan
@@ -578,7 +678,7 @@ def _runner(f: Callable) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-PLANS |= audits.PLANS
+PLANS |= audits.PLANS | records.PLANS
 QUERIES = {name: _runner(f) for name, f in PLANS.items()}
 ORACLE_SQL = {name: f(Ansi()) for name, f in PLANS.items()}
 
@@ -587,10 +687,17 @@ def group_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The disjoint groups that a greedy choice takes (S2): sequential, so without an oracle."""
     from docstrata.operators.sequential import select_disjoint_groups
 
-    scored = spark.sql(f"{b.body_groups(Spark(sf_dir))} SELECT doc_id, {n('run', 'run')}, {n('start_i', 'start_i')}, {n('end_i', 'end_i')}, {n('size', 'size')}, confidence FROM grouped WHERE confidence >= 65e-2")
+    scored = spark.sql(f"{b.body_groups(Spark(sf_dir))} SELECT doc_id, {n('run', 'run')}, {n('start_i', 'start_i')}, {n('end_i', 'end_i')}, {n('size', 'size')}, ordered, markers, confidence FROM grouped WHERE confidence >= 65e-2")
     return select_disjoint_groups(scored)
 
 
+def semantic_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines that the chosen groups make items of a list (M2): those of groups that are sure enough."""
+    from docstrata.operators.sequential import retyped_items
+
+    return retyped_items(group_select(spark, sf_dir), spark.sql(f"{b.body_groups(Spark(sf_dir))} SELECT doc_id, {n('run', 'run')}, {n('i', 'i')}, {n('pos', 'pos')}, t FROM featured"))
+
+
 def layout_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The indents that begin a level in each physical list group (W10): a fold, so without an oracle."""
     from docstrata.operators.sequential import layout_levels
@@ -598,4 +705,4 @@ def layout_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout_levels(spark.sql(f"{b.deco_num(Spark(sf_dir))} SELECT doc_id, gid AS run, left_twips FROM physical"))
 
 
-QUERIES |= {"group_select": group_select, "layout_clusters": layout_clusters}
+QUERIES |= {"group_select": group_select, "layout_clusters": layout_clusters, "semantic_lists": semantic_lists}

@@ -4,13 +4,20 @@ from __future__ import annotations
 
 
 class Spark:
-    """Tables are read in place by Spark's Parquet reader, so Catalyst prunes columns and pushes filters."""
+    """Tables are read in place by Spark's Parquet reader, so Catalyst prunes columns and pushes filters.
 
-    def __init__(self, folder: str):
+    Relations that the caller gives (plans.apply) are named by their views instead.
+    """
+
+    def __init__(self, folder: str = "", given: dict[str, str] | None = None):
         self.folder = folder
+        self.given = given or {}
+
+    def has(self, name: str) -> bool:
+        return name in self.given
 
     def table(self, name: str) -> str:
-        return f"parquet.`{self.folder}/{name}.parquet`"
+        return self.given.get(name) or f"parquet.`{self.folder}/{name}.parquet`"
 
     def matches(self, x: str, pattern: str) -> str:
         return f"({x} RLIKE r'{pattern}')"
@@ -32,6 +39,10 @@ class Spark:
         """x of the rows of a group in the given order, with blanks between."""
         return f"listagg({x}, ' ') WITHIN GROUP (ORDER BY {order})"
 
+    def each(self, columns: str, items: list[str], table: str) -> str:
+        """(columns, item): a row for each item of the list that is not null."""
+        return f"SELECT {columns}, item FROM {table} LATERAL VIEW explode(filter(array({', '.join(items)}), x -> x IS NOT NULL)) e AS item"
+
     def sha256(self, x: str) -> str:
         return f"sha2({x}, 256)"
 
@@ -40,6 +51,9 @@ class Spark:
 
 
 class Ansi:
+    def has(self, name: str) -> bool:
+        return False
+
     def table(self, name: str) -> str:
         return name
 
@@ -67,6 +81,9 @@ class Ansi:
     def listed(self, x: str, order: str) -> str:
         return f"string_agg({x}, ' ' ORDER BY {order})"
 
+    def each(self, columns: str, items: list[str], table: str) -> str:
+        return f"SELECT {columns}, unnest(list_filter([{', '.join(items)}], lambda x: x IS NOT NULL)) AS item FROM {table}"
+
     def sha256(self, x: str) -> str:
         return f"sha256({x})"
 
