@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docstrata.functions import text as fn
 from docstrata.operators import blocks as b
-from docstrata.plans import audits, records
+from docstrata.plans import audits, models, records
 from docstrata.plans.dialect import Ansi, Spark
 
 PLANS: dict[str, Callable] = {}
@@ -630,22 +630,6 @@ def batches(d):
     return f"{_requests(d)} SELECT doc_id, request_id, {n('floor((row_number() OVER (PARTITION BY doc_id ORDER BY request_id) - 1) / 12e0)', 'batch')} FROM requests"
 
 
-@plan
-def validate_patch(d):
-    bad = "CASE WHEN q.request_id IS NULL THEN 'unknown_block' WHEN r.claim = 'stale' THEN 'stale_from' WHEN r.value < 10 THEN 'low_confidence' ELSE NULL END"
-    return f"{_requests(d)}, judged AS (SELECT r.seq, r.request_id, {bad} AS error FROM responses r LEFT JOIN requests q ON q.request_id = r.request_id) SELECT seq, request_id, error FROM judged WHERE error IS NOT NULL"
-
-
-@plan
-def apply_patch(d):
-    return f"{_requests(d)}, last_one AS (SELECT request_id, value, row_number() OVER (PARTITION BY request_id ORDER BY seq DESC) AS k FROM responses WHERE claim = 'ok') SELECT q.request_id, coalesce(r.value, q.value) AS value, (r.request_id IS NOT NULL) AS changed FROM requests q LEFT JOIN last_one r ON r.request_id = q.request_id AND r.k = 1"
-
-
-@plan
-def group_atomicity(d):
-    return f"{_requests(d)} SELECT q.doc_id, {n('count(*)', 'members')}, {n('count(r.seq)', 'covered')}, (count(*) = count(r.seq)) AS atomic FROM requests q LEFT JOIN responses r ON r.request_id = q.request_id GROUP BY q.doc_id"
-
-
 @plan
 def phase_deltas(d):
     return f"{_requests(d)}, p AS (SELECT operation, doc_id % 4 AS phase, count(*) AS total FROM requests GROUP BY operation, doc_id % 4) SELECT operation, {n('phase', 'phase')}, {n('total - coalesce(lag(total) OVER (PARTITION BY operation ORDER BY phase), 0)', 'delta')} FROM p"
@@ -678,7 +662,7 @@ def _runner(f: Callable) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-PLANS |= audits.PLANS | records.PLANS
+PLANS |= audits.PLANS | records.PLANS | models.PLANS
 QUERIES = {name: _runner(f) for name, f in PLANS.items()}
 ORACLE_SQL = {name: f(Ansi()) for name, f in PLANS.items()}
 
