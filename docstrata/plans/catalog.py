@@ -100,12 +100,6 @@ def appendix_markers(d):
     return f"{b.blocks(d)} SELECT doc_id, pos, {d.extract('t', '^附录([A-Z])', 1)} AS appendix_id, {fn.strip(d, d.replace('t', '^附录[A-Z]'))} AS title FROM blocks WHERE block_type = 'appendix'"
 
 
-@plan
-def unordered_candidates(d):
-    marker = d.extract("t", "^([-–—－•·●○■□▪▫◆◇▶▷►▻※★☆✓✔])", 1)
-    return f"{b.blocks(d)} SELECT doc_id, pos, {marker} AS marker, {fn.strip(d, 'substring(t, 2)')} AS content FROM blocks WHERE kind IS NULL AND {d.matches('t', fn.UNORDERED)} AND {d.matches('substring(t, 2)', r'[\p{L}\p{N}]')}"
-
-
 # Tables (SC2-SC4, PF12-PF16, A8, A11)
 
 
@@ -118,11 +112,6 @@ def _table_rows(d) -> str:
     )
 
 
-def _table_facts(d) -> str:
-    payload = d.matches("item", "^[ ]*[{<]|HTTP/|[{].*[:\"]")
-    return f"facts AS (SELECT doc_id, tid, count(*) AS n_cells, sum(CASE WHEN {payload} THEN 1 ELSE 0 END) AS n_payload, max(length(item)) AS longest, max(r) + 1 AS n_rows FROM cells GROUP BY doc_id, tid)"
-
-
 def _tables(d) -> str:
     return f"{b.blocks(d)}, {_table_rows(d)}"
 
@@ -132,19 +121,6 @@ def md_tables(d):
     return f"{_tables(d)} SELECT doc_id, {n('tid', 'tid')}, {n('min(pos)', 'start_pos')}, {n('count(*)', 'n_rows')} FROM kept GROUP BY doc_id, tid"
 
 
-@plan
-def table_cells(d):
-    return f"{_tables(d)} SELECT doc_id, {n('tid', 'tid')}, {n('r', 'r')}, {n('n', 'c')}, {fn.strip(d, 'item')} AS text, CASE WHEN r = 0 THEN 'header' ELSE 'body' END AS cell_role FROM cells"
-
-
-@plan
-def table_class(d):
-    return (
-        f"{_tables(d)}, {_table_facts(d)} "
-        f"SELECT doc_id, {n('tid', 'tid')}, {n('n_cells', 'n_cells')}, CASE WHEN n_payload * 4 >= n_cells AND n_payload > 0 THEN 'code_sample' WHEN n_rows = 1 THEN 'layout' ELSE 'data' END AS table_type, (n_payload * 4 < n_cells AND n_rows > 1) AS caption_eligible FROM facts"
-    )
-
-
 # Windows over sections, lists and headings
 
 
@@ -275,7 +251,7 @@ def caption_order(d):
 def caption_placement(d):
     """Blocks with captions where they belong, and one with a new id for each data table that can have one."""
     return (
-        f"{_rebuilt(d)}, {_table_rows(d)}, {_table_facts(d)}, bare AS (SELECT u.doc_id, u.i, row_number() OVER (PARTITION BY u.doc_id ORDER BY u.i) AS serial FROM units u JOIN facts f ON f.doc_id = u.doc_id AND f.tid = u.tid WHERE u.block_type = 'table' AND f.n_payload * 4 < f.n_cells AND f.n_rows > 1 "
+        f"{_rebuilt(d)}{models.table_parts(d)}, bare AS (SELECT u.doc_id, u.i, row_number() OVER (PARTITION BY u.doc_id ORDER BY u.i) AS serial FROM units u JOIN semantics f ON f.doc_id = u.doc_id AND f.tid = u.tid WHERE u.block_type = 'table' AND f.table_type = 'data' "
         "AND NOT EXISTS (SELECT 1 FROM owned o WHERE o.doc_id = u.doc_id AND o.i = u.i) AND NOT EXISTS (SELECT 1 FROM blocked x WHERE x.doc_id = u.doc_id AND x.i = u.i)), "
         "placed AS (SELECT doc_id, o, block_type, t, CAST(NULL AS VARCHAR(40)) AS caption_id FROM rebuilt UNION ALL SELECT doc_id, i * 4 + 1 AS o, 'caption' AS block_type, '' AS t, concat('caption-auto-', CAST(serial AS VARCHAR(20))) AS caption_id FROM bare) "
         f"SELECT doc_id, {n('row_number() OVER (PARTITION BY doc_id ORDER BY o)', 'ord')}, block_type, t, caption_id FROM placed"
@@ -615,16 +591,6 @@ def _requests(d) -> str:
     )
 
 
-@plan
-def request_hash(d):
-    return f"{_requests(d)} SELECT request_id, input_hash FROM requests"
-
-
-@plan
-def response_status(d):
-    return f"{_requests(d)} SELECT q.request_id, CASE WHEN r.seq IS NULL THEN 'missing_response' WHEN r.claim = 'stale' THEN 'verification_error' ELSE 'ok' END AS status FROM requests q LEFT JOIN responses r ON r.request_id = q.request_id"
-
-
 @plan
 def batches(d):
     return f"{_requests(d)} SELECT doc_id, request_id, {n('floor((row_number() OVER (PARTITION BY doc_id ORDER BY request_id) - 1) / 12e0)', 'batch')} FROM requests"
@@ -640,17 +606,22 @@ def phase_deltas(d):
 
 @plan
 def level_fold(d):
-    """Levels clamped to one more than the clamped level before (W11), per physical group, first at 0."""
+    """Unordered items by level (W11): less the least level of an all-unordered run, first at 0, none more than one below the item before; ordered items stay."""
+    rows = f"{b.deco_num(d)}, typed AS (SELECT doc_id, gid, pos, level, (pos % 5 = 3) AS ordered FROM physical), based AS (SELECT *, CASE WHEN max(CASE WHEN ordered THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, gid) = 1 THEN 0 ELSE min(level) OVER (PARTITION BY doc_id, gid) END AS base FROM typed)"
+    if d.has("items"):
+        rows = f"WITH given AS (SELECT * FROM {d.table('items')}), based AS (SELECT *, CASE WHEN max(CASE WHEN ordered THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, gid) = 1 THEN 0 ELSE min(level) OVER (PARTITION BY doc_id, gid) END AS base FROM given)"
+    columns = f"{n('gid', 'gid')}, {n('pos', 'pos')}, {n('level', 'level')}, CASE WHEN ordered THEN 'ordered' WHEN level = 0 THEN 'dash' ELSE 'bullet_dot' END AS list_type"
     if isinstance(d, Spark):
         return (
-            f"{b.deco_num(d)}, g AS (SELECT doc_id, gid, sort_array(collect_list(struct(pos, level))) AS xs FROM physical GROUP BY doc_id, gid) "
-            "SELECT doc_id, CAST(gid AS BIGINT) AS gid, CAST(e.pos AS BIGINT) AS pos, CAST(e.level AS BIGINT) AS level FROM (SELECT doc_id, gid, explode(aggregate(xs, CAST(array() AS array<struct<pos:int,level:int>>), "
-            "(acc, x) -> array_append(acc, named_struct('pos', x.pos, 'level', CASE WHEN size(acc) = 0 THEN 0 ELSE least(x.level, element_at(acc, -1).level + 1) END)))) AS e FROM g)"
+            f"{rows}, g AS (SELECT doc_id, gid, sort_array(collect_list(struct(pos, ordered, greatest(level - base, 0) AS want, level))) AS xs FROM based GROUP BY doc_id, gid), "
+            "told AS (SELECT doc_id, gid, e.pos, e.ordered, e.level FROM (SELECT doc_id, gid, explode(aggregate(xs, CAST(array() AS array<struct<pos:int,ordered:boolean,level:int>>), "
+            "(acc, x) -> array_append(acc, named_struct('pos', x.pos, 'ordered', x.ordered, 'level', CASE WHEN x.ordered THEN x.level WHEN size(acc) = 0 THEN 0 ELSE least(x.want, element_at(acc, -1).level + 1) END)))) AS e FROM g)) "
+            f"SELECT doc_id, {columns} FROM told"
         )
     return (
-        f"{b.deco_num(d).replace('WITH ', 'WITH RECURSIVE ', 1)}, o AS (SELECT doc_id, gid, pos, level, row_number() OVER (PARTITION BY doc_id, gid ORDER BY pos) AS k FROM physical), "
-        "f AS (SELECT doc_id, gid, pos, 0 AS level, k FROM o WHERE k = 1 UNION ALL SELECT o.doc_id, o.gid, o.pos, least(o.level, f.level + 1), o.k FROM f JOIN o ON o.doc_id = f.doc_id AND o.gid = f.gid AND o.k = f.k + 1) "
-        "SELECT doc_id, CAST(gid AS BIGINT) AS gid, CAST(pos AS BIGINT) AS pos, CAST(level AS BIGINT) AS level FROM f"
+        f"{rows.replace('WITH ', 'WITH RECURSIVE ', 1)}, o AS (SELECT *, greatest(level - base, 0) AS want, row_number() OVER (PARTITION BY doc_id, gid ORDER BY pos) AS k FROM based), "
+        "f AS (SELECT doc_id, gid, pos, ordered, CASE WHEN ordered THEN level ELSE 0 END AS level, k FROM o WHERE k = 1 UNION ALL SELECT o.doc_id, o.gid, o.pos, o.ordered, CASE WHEN o.ordered THEN o.level ELSE least(o.want, f.level + 1) END, o.k FROM f JOIN o ON o.doc_id = f.doc_id AND o.gid = f.gid AND o.k = f.k + 1) "
+        f"SELECT doc_id, {columns} FROM f"
     )
 
 

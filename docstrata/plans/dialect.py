@@ -43,6 +43,10 @@ class Spark:
         """(columns, item): a row for each item of the list that is not null."""
         return f"SELECT {columns}, item FROM {table} LATERAL VIEW explode(filter(array({', '.join(items)}), x -> x IS NOT NULL)) e AS item"
 
+    def quoted(self, x: str) -> str:
+        """A string as JSON, null as null."""
+        return f"coalesce(nullif(substring(to_json(named_struct('x', {x})), 6, length(to_json(named_struct('x', {x}))) - 6), ''), 'null')"
+
     def sha256(self, x: str) -> str:
         return f"sha2({x}, 256)"
 
@@ -84,6 +88,9 @@ class Ansi:
     def each(self, columns: str, items: list[str], table: str) -> str:
         return f"SELECT {columns}, unnest(list_filter([{', '.join(items)}], lambda x: x IS NOT NULL)) AS item FROM {table}"
 
+    def quoted(self, x: str) -> str:
+        return f"coalesce(CAST(to_json({x}) AS VARCHAR), 'null')"
+
     def sha256(self, x: str) -> str:
         return f"sha256({x})"
 

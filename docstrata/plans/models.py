@@ -172,6 +172,115 @@ def source_join(d):
     return f"{b.blocks(d)} SELECT x.doc_id, x.pos, x.block_type, (l.line = x.raw) AS same FROM blocks x LEFT JOIN deco_lines l ON l.doc_id = x.doc_id AND l.pos = x.pos"
 
 
+# Requests and responses
+
+PROTOCOL = "1.0"  # fixed value: the version of the protocol
+
+
+def input_hash(d) -> str:
+    """The hash of what a request asks (F26): its canonical JSON, names sorted."""
+    named = ["capability", "phase", "prompt", "protocol_version", "request_id", "run_id"]
+    parts = ", ".join(f"'{chr(44) if k else '{'}\"{name}\":', {d.quoted(name)}" for k, name in enumerate(named))
+    return f"concat('sha256:', {d.sha256(f"concat({parts}, '}}')")})"
+
+
+def _exchange(d) -> str:
+    """WITH requests and responses, given or made from conversations: a turn of a user and the next of the assistant."""
+    if d.has("requests"):
+        return f"WITH requests AS (SELECT * FROM {d.table('requests')}), responses AS (SELECT * FROM {d.table('responses')})"
+    key = "concat(CAST(conv_id AS VARCHAR(20)), '-', CAST(turn AS VARCHAR(20)))"
+    return (
+        f"WITH turns AS (SELECT conv_id, turn, role, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn, text) AS answer, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS nth FROM {d.table('conversations')}), "
+        f"asked AS (SELECT '{PROTOCOL}' AS protocol_version, concat('run', CAST(conv_id % 3 AS VARCHAR(9))) AS run_id, concat({key}, '-', CAST(nth AS VARCHAR(9))) AS request_id, 'A' AS phase, 'list_detect' AS capability, text AS prompt, answer, conv_id, nth FROM turns), "
+        f"hashed AS (SELECT *, {input_hash(d)} AS made FROM asked), requests AS (SELECT protocol_version, run_id, request_id, phase, capability, prompt, CASE WHEN conv_id % 13 = 5 THEN 'sha256:0' ELSE made END AS input_hash FROM hashed), "
+        "responses AS (SELECT nth AS seq, CASE WHEN conv_id % 11 = 3 THEN '0.9' ELSE protocol_version END AS protocol_version, request_id, answer AS raw_response, CASE WHEN nth % 5 = 0 THEN 'sha256:1' ELSE made END AS input_hash FROM hashed WHERE conv_id % 7 <> 2 "
+        "UNION ALL SELECT nth + 100 AS seq, protocol_version, request_id, concat('{', CAST(nth AS VARCHAR(9)), '}') AS raw_response, made AS input_hash FROM hashed WHERE nth % 10 = 0)"
+    )
+
+
+def request_hash(d):
+    """The recomputed hash of each request, and whether the recorded one is the same."""
+    return f"{_exchange(d)} SELECT request_id, {input_hash(d)} AS input_hash, (input_hash = {input_hash(d)}) AS same FROM requests"
+
+
+def response_status(d):
+    """What became of each request (J12, V6): the last response to it counts, and must answer what was asked."""
+    return (
+        f"{_exchange(d)}, checked AS (SELECT request_id, input_hash AS recorded, {input_hash(d)} AS expected FROM requests), latest AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY seq DESC) AS k FROM responses) "
+        f"SELECT q.request_id, CASE WHEN r.request_id IS NULL THEN 'missing_response' WHEN r.protocol_version IS NULL OR r.protocol_version <> '{PROTOCOL}' OR r.raw_response IS NULL OR coalesce(r.input_hash, '') = '' THEN 'verification_error' WHEN q.recorded <> q.expected OR r.input_hash <> q.expected THEN 'verification_error' "
+        f"WHEN NOT {d.matches('r.raw_response', '[{]')} THEN 'parse_error' ELSE 'ok' END AS status FROM checked q LEFT JOIN latest r ON r.request_id = q.request_id AND r.k = 1"
+    )
+
+
+# Tables of cells (SC3, SC4, PF12 to PF17, A8, A11)
+
+# What the first 240 characters of a code sample hold.
+CODE_MARKS = "(?i)POST |GET |PUT |DELETE |PATCH |HTTP/1[.]|<<HEADER>>|CONTENT-TYPE:|CONTENT-MD5|<[?]XML|PLAIN TEXT|REQUEST BODY|RESPONSE BODY"
+
+
+def _payload(d, x: str) -> str:
+    probe = f"substring({x}, 1, 240)"
+    return f"({d.matches(x, r'^[{\[<]')} OR {d.matches(probe, CODE_MARKS)} OR ({probe} LIKE '%{{%' AND ({probe} LIKE '%\"%' OR {probe} LIKE '%:%')) OR ({probe} LIKE '%<%' AND {probe} LIKE '%>%' AND {probe} LIKE '%</%'))"
+
+
+def table_parts(d) -> str:
+    """, table_cells (doc_id, tid, r, n, text) of the rows behind the separator, and semantics (table_type and its evidence)."""
+    bare = d.replace(d.replace("t", "^[|]+"), "[|]+$")
+    return (
+        ", table_lines AS (SELECT doc_id, pos, t, sum(CASE WHEN table_start THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS tid FROM blocks WHERE block_type = 'table'), "
+        "ordered_lines AS (SELECT *, row_number() OVER (PARTITION BY doc_id, tid ORDER BY pos) AS nth FROM table_lines), "
+        f"table_rows AS (SELECT doc_id, tid, nth - 3 AS r, concat({bare}, '|') AS cells FROM ordered_lines WHERE nth > 2), raw_cells AS ({d.matches_all('table_rows', 'doc_id, tid, r', 'cells', '([^|]*)[|]')}), "
+        f"table_cells AS (SELECT doc_id, tid, r, n, {fn.strip(d, 'item')} AS text FROM raw_cells), "
+        f"cell_facts AS (SELECT x.doc_id, x.tid, count(c.n) AS n_cells, sum(CASE WHEN c.text <> '' THEN 1 ELSE 0 END) AS n_texts, coalesce(sum(CASE WHEN {_payload(d, 'c.text')} THEN 1 ELSE 0 END), 0) AS n_payload, max(CASE WHEN {_payload(d, 'c.text')} THEN length(c.text) END) AS longest "
+        "FROM (SELECT DISTINCT doc_id, tid FROM table_lines) x LEFT JOIN table_cells c ON c.doc_id = x.doc_id AND c.tid = x.tid GROUP BY x.doc_id, x.tid), "
+        "semantics AS (SELECT *, CASE WHEN n_cells = 1 AND n_texts = 0 THEN 'layout' WHEN n_cells = 1 AND n_payload = 1 THEN 'code_sample' WHEN n_cells = 1 THEN 'callout' WHEN n_payload > 0 AND (n_payload >= 25e-2 * n_texts OR longest >= 80) THEN 'code_sample' ELSE 'data' END AS table_type FROM cell_facts)"
+    )
+
+
+def _table_cells(d) -> str:
+    return b.blocks(d) + table_parts(d)
+
+
+def table_class(d):
+    """The kind of each table by its cells (PF12 to PF14, PF16, A11), whether it takes a caption (PF17)."""
+    return f"{_table_cells(d)} SELECT doc_id, {n('tid', 'tid')}, {n('n_cells', 'n_cells')}, {n('n_payload', 'n_payload')}, table_type, (table_type = 'data') AS caption_eligible, {n('CASE WHEN table_type = ' + chr(39) + 'data' + chr(39) + ' THEN 1 ELSE 0 END', 'header_rows')} FROM semantics"
+
+
+def table_cells(d):
+    """Cells of tables with their role (SC3, SC4): code, header or body."""
+    return f"{_table_cells(d)} SELECT c.doc_id, {n('c.tid', 'tid')}, {n('c.r', 'r')}, {n('c.n', 'c')}, c.text, CASE WHEN s.table_type = 'code_sample' THEN 'code' WHEN s.table_type = 'data' AND c.r < 1 THEN 'header' ELSE 'body' END AS cell_role FROM table_cells c JOIN semantics s ON s.doc_id = c.doc_id AND s.tid = c.tid"
+
+
+def table_type_counts(d):
+    """Tables of a document by kind (A8), and those whose kind and caption do not fit."""
+    return (
+        f"{_table_cells(d)}{b.neighbours(d)}, starts AS (SELECT doc_id, pos, before, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS tid FROM neighbours WHERE table_start) "
+        f"SELECT s.doc_id, s.table_type, {n('count(*)', 'n')}, {n("sum(CASE WHEN (s.table_type = 'data') <> (coalesce(x.before, '') = 'caption') THEN 1 ELSE 0 END)", 'n_issues')} FROM semantics s JOIN starts x ON x.doc_id = s.doc_id AND x.tid = s.tid GROUP BY s.doc_id, s.table_type"
+    )
+
+
+# Markers of no known list
+
+KNOWN_MARKERS = "[-–—－•·●○■□▪▫◆◇▶▷►▻※★☆✓✔]"
+EXCLUDED_MARKERS = r"[#*_~`@$%^&+=|\\/:;,.?!，。：；？！、“”‘’《》【】()\[\]{}<>]"
+ORDERED_PREFIX = r"^([A-Za-z]\)|[0-9]+[.．]{1,2}([^.．0-9]|$)|[0-9]+\)|（[0-9]+）|\([0-9]+\))"
+
+
+def unordered_candidates(d):
+    """Lines that begin with a sign that may mark an item (F14), with what stands behind it, and how often the section has it (A4)."""
+    first = "substring(t, 1, 1)"
+    size = f"CASE WHEN substring(t, 2, 1) <> {first} THEN 1 WHEN substring(t, 3, 1) <> {first} THEN 2 WHEN length(t) >= 3 THEN 3 ELSE 2 END"
+    rest = "substring(t, k + 1)"
+    content = fn.strip(d, rest)
+    spaced, line = d.matches(rest, r"^\s"), d.matches("first_", "^[-–—－]$")
+    return (
+        f"{b.sections(d)}, led AS (SELECT doc_id, pos, sid, t, {first} AS first_, {size} AS k FROM sections WHERE block_type = 'body' AND length(t) >= 2 AND NOT {d.matches('t', ORDERED_PREFIX)} AND {d.matches('t', r'^[\p{P}\p{S}\p{Co}]')} AND NOT {d.matches('t', '^' + EXCLUDED_MARKERS)}), "
+        f"held AS (SELECT doc_id, pos, sid, first_, k, substring(t, 1, k) AS marker, {content} AS content, {spaced} AS spaced, {line} AS line_ FROM led) "
+        f"SELECT doc_id, pos, marker, content, {d.matches('first_', '^' + KNOWN_MARKERS + '$')} AS known, spaced, {n('count(*) OVER (PARTITION BY doc_id, sid, marker)', 'n_in_section')} FROM held "
+        f"WHERE {d.matches('content', r'[\p{L}\p{N}]')} AND NOT (line_ AND (k >= 3 OR ({d.matches('content', '^[0-9]')} AND NOT spaced))) AND ({d.matches('first_', '^' + KNOWN_MARKERS + '$')} OR spaced OR {d.matches('first_', r'^\p{So}$')})"
+    )
+
+
 # Normalization
 
 
@@ -212,4 +321,4 @@ def normalize_model(d):
     )
 
 
-PLANS = {f.__name__: f for f in (validate_patch, patch_status, group_atomicity, unexpected_fields, applied_rate, apply_patch, hint_texts, source_join, normalize_model)}
+PLANS = {f.__name__: f for f in (validate_patch, patch_status, group_atomicity, unexpected_fields, applied_rate, apply_patch, hint_texts, source_join, normalize_model, request_hash, response_status, table_class, table_cells, table_type_counts, unordered_candidates)}

@@ -50,7 +50,7 @@ def test_tables_without_a_caption_get_one_unless_an_ambiguous_one_blocks_it(spar
     both = [*TABLE, "表1 A", "| c | d |", "| - | - |", "| 3 | 4 |"]
     assert [x for x in ask(spark, "caption_placement", both, "caption_id") if x[0]] == []
     assert sorted(ask(spark, "caption_missing", both, "table_pos", "blocked")) == [(0, True), (4, True)]
-    assert [x for x in ask(spark, "caption_placement", ["x", "| a | b |", "| - | - |"], "caption_id") if x[0]] == []  # one row: no data
+    assert [x for x in ask(spark, "caption_placement", ["x", "| a |", "| - |", "| GET /x |"], "caption_id") if x[0]] == []  # a code sample
 
 
 def test_appendix_ids(spark):
@@ -172,6 +172,52 @@ def test_heading_levels_by_style_numbering_and_text(spark):
     assert sorted(ask_records(spark, "num_info", held, "pos", "num_id", "ilvl", "source")) == [(0, 1, 0, "direct"), (1, 1, 1, "direct"), (4, 4, 0, "style")]
 
 
+@pytest.mark.parametrize(
+    ("rows", "want"),
+    [
+        (["| 1 | 2 |"], "data"), (["| |"], "layout"), (["| note |"], "callout"), (["| {1} |"], "code_sample"), (["| GET /x |", "| b |"], "code_sample"), (["| a | b |", "| c | d |", "| e | {1} |"], "data"),
+        (["| a | b | c | d |", "| e | f | g | {\"" + "x" * 80 + "\"} |"], "code_sample"),
+    ],
+)
+def test_kinds_of_tables(spark, rows, want):
+    lines = ["| h | i |", "| --- | --- |", *rows]
+    assert ask(spark, "table_class", lines, "table_type") == [(want,)]
+    roles = {r for (r,) in ask(spark, "table_cells", lines, "cell_role")}
+    assert roles == {"data": {"header", "body"} if len(rows) > 1 else {"header"}, "code_sample": {"code"}}.get(want, {"body"})
+
+
+def test_markers_of_no_known_list(spark):
+    lines = ["## A", "■ x", "■ y", "➤ z", "➤z", "§ a", "§a", "-1", "- 1", "--- x", "# x", "(a) x", "1) x", "■"]
+    got = sorted(ask(spark, "unordered_candidates", lines, "pos", "marker", "known", "n_in_section"))
+    assert got == [(1, "■", True, 2), (2, "■", True, 2), (3, "➤", False, 2), (4, "➤", False, 2), (5, "§", False, 1), (8, "-", True, 1)]
+
+
+def test_levels_of_unordered_items(spark):
+    rows = lambda levels, ordered=(): spark.createDataFrame([("d", 1, k, v, k in ordered) for k, v in enumerate(levels)], "doc_id string, gid int, pos int, level int, ordered boolean")
+    fold = lambda *a: [(r.level, r.list_type) for r in sorted(run_plan("level_fold", items=rows(*a)).collect(), key=lambda r: r.pos)]
+    assert [x for x, _ in fold([0, 3, 1, 3])] == [0, 1, 1, 2]
+    assert fold([2, 3, 2]) == [(0, "dash"), (1, "bullet_dot"), (0, "dash")]
+    assert fold([2, 3, 5], (0,)) == [(2, "ordered"), (3, "bullet_dot"), (4, "bullet_dot")]
+
+
+def test_responses_must_answer_what_was_asked(spark):
+    import hashlib
+    import json
+
+    def request(key, prompt, **more):
+        asked = {"protocol_version": "1.0", "run_id": "r", "request_id": key, "phase": "A", "capability": "list_detect", "prompt": prompt}
+        told = "sha256:" + hashlib.sha256(json.dumps(asked, sort_keys=True, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
+        return tuple((asked | {"input_hash": told} | more).values())
+
+    asked = [request("q1", 'a "quoted"\nline 中文'), request("q2", "x"), request("q3", "x", input_hash="sha256:0"), request("q4", "x"), request("q5", "x"), request("q6", "x")]
+    requests = spark.createDataFrame(asked, "protocol_version string, run_id string, request_id string, phase string, capability string, prompt string, input_hash string")
+    told = [(1, "1.0", "q1", "{}", "sha256:0"), (2, "1.0", "q1", "{}", asked[0][-1]), (3, "1.0", "q2", "no patch", asked[1][-1]), (4, "1.0", "q3", "{}", "sha256:0"), (5, "0.9", "q4", "{}", asked[3][-1]), (6, "1.0", "q6", "{}", asked[5][-1]), (7, "1.0", "q6", "{}", "sha256:1")]
+    responses = spark.createDataFrame(told, "seq int, protocol_version string, request_id string, raw_response string, input_hash string")
+    got = {r.request_id: r.status for r in run_plan("response_status", requests=requests, responses=responses).collect()}
+    assert got == {"q1": "ok", "q2": "parse_error", "q3": "verification_error", "q4": "verification_error", "q5": "missing_response", "q6": "verification_error"}
+    assert {r.request_id: r.same for r in run_plan("request_hash", requests=requests, responses=responses).collect()} == {f"q{k}": k != 3 for k in range(1, 7)}
+
+
 def test_list_descriptors(spark):
     rows = [(1, 0, "decimal", "%1)", "", 1), (2, 0, "decimal", "%2)", "", 3), (3, 0, "none", "", "", 1), (4, 0, "bullet", "●", "", 1), (5, 0, "bullet", "•", "", 1)]
     definitions = spark.createDataFrame([("d", *r) for r in rows], "doc_id string, num_id int, ilvl int, num_fmt string, lvl_text string, p_style string, start int")
