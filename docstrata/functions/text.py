@@ -43,6 +43,7 @@ APPENDIX_MARK = r"(?i)^附\s*录\s*[A-Z](\s*|[：:].*)$"
 APPENDIX_ID = r"(?i)^附\s*录\s*([A-Z])([^A-Za-z]|$)"
 APPENDIX_CANDIDATE = r"(?i)^附\s*录(?:\s*([A-Z]))?(?:\s*[：:]\s*.+|\s+.+)?$"
 APPENDIX_HEADING = r"(?i)^\s*([A-Z])(([.．][0-9]+){1,3})[\s、：:.)）-]*(.*)$"
+CAPTION_START = "^[图表]"
 IMAGE = r"^!\[[^\]]*\]\([^)]*\)$"
 ORDERED = r"^([A-Za-z]\)|[0-9]+[.)、]|[（(][0-9]+[）)])"
 UNORDERED = "^[-–—－•·●○■□▪▫◆◇▶▷►▻※★☆✓✔]"

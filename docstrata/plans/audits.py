@@ -60,15 +60,6 @@ def note_preservation(d):
     )
 
 
-def list_preservation(d):
-    """Lists of the model against rendered ones, by order, only where their counts agree."""
-    return (
-        f"{_rendered(d)}, m AS (SELECT doc_id, level, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k, count(*) OVER (PARTITION BY doc_id) AS total FROM rendered WHERE block_type = 'list_item'), "
-        "o AS (SELECT doc_id, style, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k, count(*) OVER (PARTITION BY doc_id) AS total FROM rendered WHERE style LIKE '%列项%') "
-        f"SELECT m.doc_id, {n('max(m.total)', 'model_n')}, {n('coalesce(max(o.total), 0)', 'rendered_n')}, (max(m.total) = coalesce(max(o.total), 0)) AS passed FROM m LEFT JOIN o ON o.doc_id = m.doc_id AND o.k = m.k AND o.total = m.total GROUP BY m.doc_id"
-    )
-
-
 def caption_counts(d):
     """Captions expected and rendered, by type, with zeros."""
     return (
@@ -77,14 +68,6 @@ def caption_counts(d):
     )
 
 
-def origin_counts(d):
-    """Where list items come from, by precedence, with zeros (A5)."""
-    return (
-        f"{_rendered(d)}, kinds AS (SELECT 'native' AS origin UNION ALL SELECT 'style' AS origin UNION ALL SELECT 'marker' AS origin), f AS (SELECT CASE WHEN style LIKE '%列项%' THEN 'style' ELSE 'marker' END AS origin, count(*) AS n FROM rendered WHERE block_type = 'list_item' GROUP BY CASE WHEN style LIKE '%列项%' THEN 'style' ELSE 'marker' END) "
-        f"SELECT k.origin, {n('coalesce(f.n, 0)', 'n')} FROM kinds k LEFT JOIN f ON f.origin = k.origin"
-    )
-
-
 def output_structure(d):
     """First block, titles and headings of a document against the output contract."""
     return (
@@ -180,7 +163,7 @@ def role_overrides(d):
 PLANS = {
     f.__name__: f
     for f in (
-        repairs, repair_counts, style_usage, style_roles, note_preservation, list_preservation, caption_counts, origin_counts, output_structure, residue,
+        repairs, repair_counts, style_usage, style_roles, note_preservation, caption_counts, output_structure, residue,
         appendix_header_merge, excluded_positions, title_injection, template_roles, prompt_texts, report_rows, review_validation,
         level_overrides, role_overrides,
     )

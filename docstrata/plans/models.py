@@ -27,14 +27,14 @@ def n(x: str, name: str) -> str:
 
 
 def model(d) -> str:
-    """WITH ... model (doc_id, pos, block_id, block_type, role, level, list_type, restart, text, raw, style, source_role, status, ilvl, num_list_type, unordered, group_id, family, family_source, table_type, header_rows, n_rows, caption_type, auto_generated)."""
+    """WITH ... model (doc_id, pos, block_id, block_type, role, level, list_type, restart, text, raw, style, source_role, status, ilvl, num_list_type, unordered, group_id, family, family_source, table_type, header_rows, n_rows, caption_type, auto_generated, original_type, group_status, inferred_role)."""
     if d.has("model"):
         return f"WITH model AS (SELECT * FROM {d.table('model')})"
     return (
         b.units(d) + ", model AS (SELECT doc_id, pos, concat('b', CAST(i AS VARCHAR(20))) AS block_id, block_type, role, level, list_type, CASE WHEN block_type = 'list_item' THEN (i % 3 = 0) END AS restart, CASE WHEN block_type = 'caption' AND i % 2 = 0 THEN '' ELSE t END AS text, t AS raw, "
         "CASE i % 9 WHEN 1 THEN 'Heading 2' WHEN 4 THEN '附录标题' ELSE 'Normal' END AS style, CASE WHEN i % 17 = 0 THEN 'formula' END AS source_role, CASE i % 8 WHEN 1 THEN 'ignored' WHEN 2 THEN 'ambiguous' WHEN 3 THEN 'detected' END AS status, CAST(i % 2 AS INT) AS ilvl, 'decimal_paren' AS num_list_type, (i % 10 = 5) AS unordered, "
         "CASE WHEN block_type = 'body' THEN concat('g', CAST(CAST(floor(i / 4e0) AS BIGINT) AS VARCHAR(20))) END AS group_id, CASE WHEN floor(i / 4e0) % 2 = 0 THEN 'ordered' ELSE 'unordered' END AS family, CASE WHEN floor(i / 4e0) % 3 = 0 THEN 'visible_ordered_marker' ELSE 'semantic_default_ordered' END AS family_source, "
-        "CASE WHEN block_type = 'table' THEN CASE i % 3 WHEN 0 THEN 'data' WHEN 1 THEN 'layout' ELSE 'code_sample' END END AS table_type, CAST(CASE WHEN block_type = 'table' THEN 1 END AS INT) AS header_rows, CAST(CASE WHEN block_type = 'table' THEN 3 END AS INT) AS n_rows, caption_type, (block_type = 'caption' AND i % 2 = 0) AS auto_generated FROM units)"
+        "CASE WHEN block_type = 'table' THEN CASE i % 3 WHEN 0 THEN 'data' WHEN 1 THEN 'layout' ELSE 'code_sample' END END AS table_type, CAST(CASE WHEN block_type = 'table' THEN 1 END AS INT) AS header_rows, CAST(CASE WHEN block_type = 'table' THEN 3 END AS INT) AS n_rows, caption_type, (block_type = 'caption' AND i % 2 = 0) AS auto_generated, CASE WHEN i % 19 = 0 THEN 'body' END AS original_type, CASE i % 6 WHEN 0 THEN 'auto' WHEN 1 THEN 'review' END AS group_status, CASE i % 7 WHEN 0 THEN 'list' WHEN 1 THEN 'body' END AS inferred_role FROM units)"
     )
 
 
@@ -172,6 +172,45 @@ def source_join(d):
     return f"{b.blocks(d)} SELECT x.doc_id, x.pos, x.block_type, (l.line = x.raw) AS same FROM blocks x LEFT JOIN deco_lines l ON l.doc_id = x.doc_id AND l.pos = x.pos"
 
 
+# Audits of lists (A5, V9, J9) and small relations (PF1, SC20)
+
+# The styles that the template has for items of each kind.
+ITEM_STYLES = {"lower_letter_paren": "1.1一级列项-编号", "dash": "1.2一级列项-无编号", "decimal_paren": "2.1二级列项-有编号", "bullet_dot": "2.2二级列项-无编号"}
+
+
+def origin_counts(d):
+    """Where the items of a document come from (A5): the first origin that fits, zeros left out."""
+    origin = (
+        "CASE WHEN original_type IS NOT NULL AND original_type <> 'list_item' THEN 'llm' WHEN status = 'detected' THEN 'rules' WHEN group_status = 'auto' THEN 'semantic_group_rules' WHEN kind IS NOT NULL THEN 'text_marker' WHEN inferred_role IS NOT NULL AND inferred_role <> 'list' THEN 'normalization_fallback' ELSE 'rules' END"
+    )
+    return f"{model(d)}, items AS (SELECT *, {fn.list_kind(d, "coalesce(raw, text, '')")} AS kind FROM model WHERE block_type = 'list_item') SELECT doc_id, {origin} AS origin, {n('count(*)', 'n')} FROM items GROUP BY doc_id, {origin}"
+
+
+def list_preservation(d):
+    """Items of the model and of the rendered document, by order where both have as many (V9, J9), and what numbering says against the model."""
+    expected = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ITEM_STYLES.items())
+    wanted = "CASE WHEN list_type IN ('dash', 'bullet_dot') THEN CASE WHEN coalesce(level, 0) = 0 THEN 'dash' ELSE 'bullet_dot' END ELSE CASE WHEN coalesce(level, 0) = 0 THEN 'lower_letter_paren' ELSE 'decimal_paren' END END"
+    rendered = (
+        f"rendered AS (SELECT doc_id, style, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k, count(*) OVER (PARTITION BY doc_id) AS total FROM {d.table('rendered')})"
+        if d.has("rendered")
+        else f"rendered AS (SELECT doc_id, CASE WHEN k % 6 = 0 THEN 'List Number' ELSE CASE {wanted} {expected} END END AS style, k, count(*) OVER (PARTITION BY doc_id) AS total FROM items WHERE doc_id % 3 <> 0 OR k > 1)"
+    )
+    return (
+        f"{model(d)}, items AS (SELECT doc_id, level, list_type, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k, count(*) OVER (PARTITION BY doc_id) AS total FROM model WHERE block_type = 'list_item'), {rendered}, "
+        f"zipped AS (SELECT i.doc_id, i.total, r.total AS shown, CASE WHEN i.total = r.total AND r.style <> CASE {wanted.replace('list_type', 'i.list_type').replace('(level', '(i.level')} {expected} END THEN 1 ELSE 0 END AS wrong FROM items i LEFT JOIN rendered r ON r.doc_id = i.doc_id AND r.k = i.k), "
+        "sums AS (SELECT doc_id, max(total) AS items_, coalesce(max(shown), 0) AS shown, sum(wrong) AS mismatches FROM zipped GROUP BY doc_id), "
+        "sides AS (SELECT doc_id, sum(CASE WHEN block_type = 'list_item' AND status = 'ignored' THEN 1 ELSE 0 END) AS conflicts, sum(CASE WHEN block_type <> 'list_item' AND status = 'detected' THEN 1 ELSE 0 END) AS residue FROM model GROUP BY doc_id) "
+        f"SELECT x.doc_id, {n('coalesce(s.items_, 0)', 'model_n')}, {n('coalesce(s.shown, 0)', 'rendered_n')}, {n('coalesce(s.mismatches, 0)', 'mismatches')}, {n('x.conflicts', 'conflicts')}, {n('x.residue', 'residue')} FROM sides x LEFT JOIN sums s ON s.doc_id = x.doc_id"
+    )
+
+
+def source_records(d):
+    """What is known of a block's source as JSON, without what is empty (PF1)."""
+    fields = {"raw_text": "raw", "role": "source_role", "style": "style", "status": "status"}
+    parts = [f"CASE WHEN coalesce({x}, '') <> '' THEN concat('\"{name}\":', {d.quoted(x)}) END" for name, x in fields.items()]
+    return f"{model(d)} SELECT doc_id, {n('pos', 'pos')}, concat('{{', concat_ws(',', {', '.join(parts)}), '}}') AS source FROM model"
+
+
 # Requests and responses
 
 PROTOCOL = "1.0"  # fixed value: the version of the protocol
@@ -321,4 +360,4 @@ def normalize_model(d):
     )
 
 
-PLANS = {f.__name__: f for f in (validate_patch, patch_status, group_atomicity, unexpected_fields, applied_rate, apply_patch, hint_texts, source_join, normalize_model, request_hash, response_status, table_class, table_cells, table_type_counts, unordered_candidates)}
+PLANS = {f.__name__: f for f in (validate_patch, patch_status, group_atomicity, unexpected_fields, applied_rate, apply_patch, hint_texts, source_join, normalize_model, request_hash, response_status, table_class, table_cells, table_type_counts, unordered_candidates, origin_counts, list_preservation, source_records)}

@@ -149,6 +149,20 @@ def docx_roles(d):
     )
 
 
+def output_blocks(d):
+    """Blocks of a rendered document by the styles it shows (SC11): paragraphs first, then tables."""
+    style = "replace(style, ' ', '')"
+    kind = (
+        f"CASE WHEN kind = 'table' THEN 'table' WHEN {style} = '附录标题' THEN 'appendix' WHEN {d.matches(style, '^附录.*[1-3]$')} OR style LIKE 'Heading%' THEN 'heading' WHEN style LIKE '%列项%' THEN 'list_item' WHEN style LIKE '%文档标题%' THEN 'heading' WHEN {d.matches('t', fn.CAPTION_START)} OR style IN ('Caption', '题注') THEN 'caption' ELSE 'body' END"
+    )
+    role = f"CASE WHEN {d.matches(style, '^附录.*[1-3]$')} THEN 'appendix_heading' WHEN style LIKE '%文档标题%' THEN 'title' WHEN style LIKE '%注-%' THEN 'note' END"
+    level = f"CASE WHEN style LIKE '%文档标题%' THEN 0 ELSE coalesce(TRY_CAST({d.extract('style', '([0-9]+)$', 1)} AS INT), 1) END"
+    return (
+        f"{records(d)}, shown AS (SELECT doc_id, pos, t, {kind} AS block_type, {role} AS role, {level} AS own_level, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN kind = 'table' THEN 1 ELSE 0 END, pos) AS nth FROM records) "
+        f"SELECT doc_id, {n('nth', 'ord')}, concat('b', lpad(CAST(nth AS VARCHAR(10)), 4, '0')) AS block_id, block_type, role, {n("CASE WHEN block_type = 'heading' THEN own_level END", 'level')}, t AS text FROM shown"
+    )
+
+
 # Table of contents (W14, S1, PF24, F19, J6)
 
 
@@ -324,7 +338,7 @@ def list_status(d):
 PLANS = {
     f.__name__: f
     for f in (
-        record_flags, metadata_tables, front_matter_flags, visual_headings, heading_sources, num_info, compact_headings, docx_roles, toc_candidates, toc_select, toc_entry_overlap, toc_review, auto_gate_toc,
+        record_flags, metadata_tables, front_matter_flags, visual_headings, heading_sources, num_info, compact_headings, docx_roles, output_blocks, toc_candidates, toc_select, toc_entry_overlap, toc_review, auto_gate_toc,
         title_top1, cover_score, front_matter, numbering_join, marker_templates, list_descriptors, list_status,
     )
 }

@@ -78,7 +78,9 @@ def _text(paragraph: ElementTree.Element) -> str:
 
 def _record(name: str, pos: int, node: ElementTree.Element, styles: dict[str, tuple[str, int | None]]) -> tuple:
     if node.tag == f"{WORD}tbl":
-        items = [t for cell in node.iter(f"{WORD}tc") for x in cell.findall(f"{WORD}p") if (t := _text(x).strip())]
+        # Of cells that are merged downwards only the first counts.
+        cells = [c for c in node.iter(f"{WORD}tc") if (m := c.find(f"{WORD}tcPr/{WORD}vMerge")) is None or m.get(f"{WORD}val") == "restart"]
+        items = [t for cell in cells for x in cell.findall(f"{WORD}p") if (t := _text(x).strip())]
         return name, pos, "table", "", " ".join(items), "|".join(x.replace("|", "/") for x in items), False, False, None, False, False, False, None, None, None, None
     own = node.find(f"{WORD}pPr")
     style, style_num = styles.get(_value(own, "pStyle") or "", (_value(own, "pStyle") or "", None))

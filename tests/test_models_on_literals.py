@@ -7,7 +7,7 @@ from docstrata.plans.apply import run_plan
 MODEL = {
     "doc_id": ("string", "d"), "pos": ("int", 0), "block_id": ("string", None), "block_type": ("string", "body"), "role": ("string", None), "level": ("int", None), "list_type": ("string", None), "restart": ("boolean", None), "text": ("string", "x"), "raw": ("string", None),
     "style": ("string", "Normal"), "source_role": ("string", None), "status": ("string", None), "ilvl": ("int", None), "num_list_type": ("string", None), "unordered": ("boolean", False), "group_id": ("string", None), "family": ("string", None), "family_source": ("string", None),
-    "table_type": ("string", None), "header_rows": ("int", None), "n_rows": ("int", None), "caption_type": ("string", None), "auto_generated": ("boolean", False),
+    "table_type": ("string", None), "header_rows": ("int", None), "n_rows": ("int", None), "caption_type": ("string", None), "auto_generated": ("boolean", False), "original_type": ("string", None), "group_status": ("string", None), "inferred_role": ("string", None),
 }
 DECISION = {
     "doc_id": ("string", "d"), "idx": ("int", 0), "block_id": ("string", "b0"), "operation": ("string", "retype"), "confidence": ("double", 0.9), "fields": ("string", None), "to_type": ("string", None), "to_level": ("int", None), "to_list_type": ("string", None), "to_restart": ("boolean", None),
@@ -137,3 +137,34 @@ def test_hints(spark):
     hints = spark.createDataFrame([(1, 1, " a\t\tb#$%中文，c "), (2, 1, "x" * 600)], "conv_id long, turn int, hint string")
     got = {r.conv_id: (r.hint, r.truncated) for r in run_plan("hint_texts", hints=hints).collect()}
     assert got == {1: ("a b中文，c", False), 2: ("x" * 500, True)}
+
+
+def test_origins_and_preservation_of_lists(spark):
+    item = {"block_type": "list_item", "list_type": "dash", "level": 0}
+    blocks = [item | {"original_type": "body", "status": "detected"}, item | {"status": "detected"}, item | {"group_status": "auto"}, item | {"raw": "a) x"}, item | {"inferred_role": "body"}, item | {"inferred_role": "list"}, {"status": "detected"}, item | {"status": "ignored"}]
+    got = {r.origin: r.n for r in run_plan("origin_counts", model=relation(spark, MODEL, blocks)).collect()}
+    assert got == {"llm": 1, "rules": 3, "semantic_group_rules": 1, "text_marker": 1, "normalization_fallback": 1}
+    shown = spark.createDataFrame([("d", k, "1.2一级列项-无编号" if k else "List Number") for k in range(7)], "doc_id string, pos int, style string")
+    ask_lists = lambda rows: [tuple(r)[1:] for r in run_plan("list_preservation", model=relation(spark, MODEL, blocks), rendered=rows).collect()]
+    assert ask_lists(shown) == [(7, 7, 1, 1, 1)]
+    assert ask_lists(shown.where("pos > 0")) == [(7, 6, 0, 1, 1)]  # other numbers: styles are not compared
+
+
+def test_model_rows_and_source_records(spark):
+    from docstrata.operators.model import model_rows
+
+    rows = spark.createDataFrame([("d", 0, "heading", "T", None), ("d", 1, "list_item", "x", 2), ("d", 2, "table", None, None)], "doc_id string, pos int, block_type string, text string, level int")
+    made = model_rows(rows).collect()
+    assert [(r.block_id, r.level, r.list_type, r.role, r.table_type, r.header_rows, r.text) for r in made] == [
+        ("b0001", 1, None, "heading", None, None, "T"), ("b0002", 2, "lower_letter_paren", "list_item", None, None, "x"), ("b0003", None, None, None, "data", 1, ""),
+    ]
+    block = relation(spark, MODEL, [{"raw": 'a "b"', "status": "", "style": "S"}])
+    assert run_plan("source_records", model=block).first().source == '{"raw_text":"a \\"b\\"","style":"S"}'
+
+
+def test_output_blocks(spark):
+    held = [("d", 0, "paragraph", "T", "文档标题"), ("d", 1, "table", "c", ""), ("d", 2, "paragraph", "A", "Heading 2"), ("d", 3, "paragraph", "表1 x", "Normal"), ("d", 4, "paragraph", "i", "1.2一级列项-无编号"), ("d", 5, "paragraph", "n", "3.1注-无编号注")]
+    made = run_plan("output_blocks", records=spark.createDataFrame(held, "doc_id string, pos int, kind string, t string, style string")).collect()
+    assert [(r.block_id, r.block_type, r.role, r.level) for r in sorted(made, key=lambda r: r.ord)] == [
+        ("b0001", "heading", "title", 0), ("b0002", "heading", None, 2), ("b0003", "caption", None, None), ("b0004", "list_item", None, None), ("b0005", "body", "note", None), ("b0006", "table", None, None),
+    ]
