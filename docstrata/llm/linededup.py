@@ -24,6 +24,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _RUNS = "kind int, h1 long, h2 long, doc_id long, text_key long, pos int, n_docs long, part int"
 _FIELDS = ["h1", "h2", "doc_id", "text_key", "pos", "n_docs", "part"]
 DROP, OPEN, SUMMARY, LEAD = 0, 1, 2, 3
+HELD = 100_000  # records of one open key that a task holds; more are left open and settled with the borders
 
 
 def line_records(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -39,7 +40,7 @@ def line_records(docs: DataFrame, min_chars: int) -> DataFrame:
     )
 
 
-def _stream(min_docs: int, keep_first: bool):
+def _stream(min_docs: int, keep_first: bool, most_held: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -47,6 +48,7 @@ def _stream(min_docs: int, keep_first: bool):
         key = None  # of the open run
         held: list = []  # column slices of the open run until min_docs documents are seen
         docs, last, first_run, lead = 0, None, True, True
+        spilled = False  # records of the open run have been left open
 
         def rows(kind: int, cols: list[np.ndarray], null: np.ndarray) -> pa.RecordBatch:
             n = len(cols[0])
@@ -60,7 +62,7 @@ def _stream(min_docs: int, keep_first: bool):
 
         def settle(border: bool) -> Iterator[pa.RecordBatch]:
             """What the run that ends here leaves open."""
-            if border:
+            if border or spilled:
                 yield summary()
                 for cols, null in held:
                     yield rows(OPEN, cols, null)
@@ -82,7 +84,7 @@ def _stream(min_docs: int, keep_first: bool):
                     if key is not None:
                         yield from settle(first_run)
                     first_run = key is None
-                    key, held, docs, last, lead = here, [], 0, None, True
+                    key, held, docs, last, lead, spilled = here, [], 0, None, True, False
                 at = slice(lo, hi)
                 mine, nul = [c[at] for c in cols], null[at]
                 fresh = ~same_doc[at]
@@ -103,13 +105,17 @@ def _stream(min_docs: int, keep_first: bool):
                         yield rows(DROP, mine, nul)
                 elif len(nul):
                     held.append((mine, nul))
+                    if sum(len(x) for _, x in held) > most_held:  # one document may hold a line any number of times
+                        for cols_, null_ in held:
+                            yield rows(OPEN, cols_, null_)
+                        held, spilled = [], True
         if key is not None:
             yield from settle(True)
 
     return run
 
 
-def line_keep_bitmaps(docs: DataFrame, min_docs: int = 2, keep: str = "first", min_chars: int = 1) -> DataFrame:
+def line_keep_bitmaps(docs: DataFrame, min_docs: int = 2, keep: str = "first", min_chars: int = 1, most_held: int = HELD) -> DataFrame:
     """(doc_id, text_key, n_dropped, bitmap) for each document that loses a line.
 
     A key is a line without white space at its ends, A-Z in lower case. A key of at least
@@ -120,11 +126,12 @@ def line_keep_bitmaps(docs: DataFrame, min_docs: int = 2, keep: str = "first", m
 
     A null text is one empty line, which min_chars >= 1 leaves alone. Rows with one doc_id
     are one document when documents are counted; rows without a doc_id together are one.
-    Repeated rows get the same answer. An empty table gives no rows.
+    Repeated rows get the same answer. Texts of any length count whole, and a line may stand in
+    one any number of times; other columns are not read. An empty table gives no rows.
     """
     records = materialize(line_records(docs, min_chars), "lines")
     ordered = records.repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "text_key", "pos")
-    runs = materialize(ordered.mapInArrow(_stream(min_docs, keep == "first"), _RUNS), "runs")
+    runs = materialize(ordered.mapInArrow(_stream(min_docs, keep == "first", most_held), _RUNS), "runs")
     border = runs.where(F.col("kind") == SUMMARY).groupBy("h1", "h2").agg(F.sum("n_docs").alias("all_docs"), F.min("part").alias("first_part"))
     border = border.where(F.col("all_docs") >= min_docs)  # two rows a partition at most before this
     late = (F.col("kind") == OPEN) | (F.col("part") > F.col("first_part"))

@@ -232,6 +232,15 @@ def test_line_dedup_keeps_the_first(spark, folder, rows):
         assert kept_text(t, maps.get(i))[0] == "\n".join(want)
 
 
+@pytest.mark.parametrize("keep", ["first", "none"])
+def test_line_dedup_holds_few_records_of_a_line(spark, keep):
+    rng = random.Random(3)
+    rows = [(k, "\n".join(rng.choice(["a", "b", "c", f"own {k}"]) for _ in range(rng.choice([2, 30, 200])))) for k in range(12)] + [(50, "alone\n" * 500), (51, "two\n" * 300), (52, "two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    spell = lambda n: sorted((r.doc_id, r.n_dropped, bytes(r.bitmap)) for r in line_keep_bitmaps(docs, min_docs=2, keep=keep, most_held=n).collect())
+    assert spell(5) == spell(100_000) != []
+
+
 def test_op9(spark, folder, rows):
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     want = Counter()
