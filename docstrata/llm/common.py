@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the contracts: U+0020 and U+0009 to U+000D, as a class for Java and RE2.
 WHITE = r"\x20\x09-\x0D"
 
+#: Rows of an Arrow batch while a table is written: texts are long, and both sides hold a batch whole.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
 _OWN: dict[str, str] = {}
 
 
@@ -45,7 +50,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    rows = spark.conf.get(BATCH, "10000")
+    spark.conf.set(BATCH, str(min(int(rows), BATCH_ROWS) if int(rows) > 0 else BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH, rows)
     atexit.register(_remove, spark, path)
     table = spark.read.schema(df.schema).parquet(path)
     table.shared_path_ = path
@@ -66,6 +76,18 @@ def _remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def release_memory() -> None:
+    """Hand freed memory back to the system.
+
+    A Python worker outlives its task, and several may wait beside the JVM for the next stage;
+    what their allocators keep would count against the executor.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library of Linux has it
+    if trim is not None:
+        trim(0)
+
+
 def text_of(column: str = "text") -> Column:
     """The text, null taken as empty."""
     return F.coalesce(F.col(column), F.lit(""))

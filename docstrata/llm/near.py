@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docstrata.llm.common import connected_components, discard, materialize, text_of
+from docstrata.llm.common import connected_components, discard, materialize, release_memory, text_of
 from docstrata.llm.tiles import tile_result
 
 BANDS, ROWS = 42, 6
@@ -205,6 +205,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                     ],
                     names=["doc_id", "text_key", "h1", "h2", "n", "sig"],
                 )
+            release_memory()
 
     return docs.mapInArrow(sketch, "doc_id long, text_key long, h1 long, h2 long, n long, sig binary")
 
@@ -221,6 +222,7 @@ def _with_shingles(rows: DataFrame, width: int) -> DataFrame:
                 right = [k for k, s in enumerate(sets) if len(s) and set_hash(s) == own[k]]
                 kept = batch.select(["block", "node", "size", "sig"]).take(pa.array(right, pa.int64()))
                 yield kept.append_column("set", pa.array([sets[k].tobytes() for k in right], pa.binary()))
+            release_memory()
 
     return rows.mapInArrow(add, "block long, node long, size long, sig binary, set binary")
 
@@ -250,6 +252,8 @@ def _compare(threshold: float, tolerance: float):
             b = np.fromiter((local[int(right[y])] for y in j[ok]), np.int64, int(ok.sum()))
             out.append(tile_result(node[rows], size[rows], a, b))
         columns = [np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in range(3)]
+        del sig, sets
+        release_memory()
         return pa.table(dict(zip(("node", "links", "root"), columns, strict=True)))
 
     return compare

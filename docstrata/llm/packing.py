@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docstrata.llm.common import materialize, text_of
+from docstrata.llm.common import materialize, release_memory, text_of
 from docstrata.llm.tokenize import ByteLevelIds, blocks, shared
 
 PIECES = (
@@ -51,6 +51,8 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                     names=["part", "before", "doc_id", "n", "ids"],
                 )
                 before = int(ends[-1])
+                del rows
+            release_memory()
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     return plain.mapInArrow(encode, "part int, before long, doc_id long, n long, ids binary")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docstrata.llm.common import text_of
+from docstrata.llm.common import release_memory, text_of
 from docstrata.llm.tokenize import Vocabulary, as_points, blocks, dictionary, shared, slices
 
 # Symbols: classes of characters as the pattern tells them apart.
@@ -269,6 +269,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
                 [batch.column("doc_id"), batch.column("n_bytes"), pa.array(n), pa.array(n > limit)],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
+            release_memory()
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     sized = plain.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text")

@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 
 SPACE, LETTER, NUMBER, OTHER, UNKNOWN = 0, 1, 2, 3, 255
 _BLOCK = 3_000_000  # code points handled at once; a longer text is cut between words
+MOST_PIECES = 500_000  # learnt pre-tokens that a worker holds
 _CUT = re.compile("[A-Za-z0-9] [A-Za-z0-9]")  # no pre-token of either pattern crosses this blank
 
 
@@ -112,8 +113,11 @@ def slices(text: str, limit: int = _BLOCK) -> list[str]:
 
 def utf8_ends(points: np.ndarray) -> np.ndarray:
     """Byte offset in UTF-8 of each code point, and of the end."""
-    widths = 1 + (points > 0x7F).astype(np.int8) + (points > 0x7FF) + (points > 0xFFFF)
-    return np.concatenate(([0], np.cumsum(widths, dtype=np.int64)))
+    widths = (points > 0x7F).view(np.int8) + (points > 0x7FF) + (points > 0xFFFF)
+    ends = np.zeros(len(points) + 1, np.int32 if len(points) < 1 << 29 else np.int64)
+    np.cumsum(widths, dtype=ends.dtype, out=ends[1:])
+    ends += np.arange(len(ends), dtype=ends.dtype)
+    return ends
 
 
 def contractions(points: np.ndarray, kinds: np.ndarray, lone: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,7 +199,7 @@ class ByteLevelIds:
 
     def _learn(self, words: list[bytes]) -> np.ndarray:
         """Places in the tables of the words' ids; new words are encoded once."""
-        if len(self.place) > 500_000:  # bounded memory: start over
+        if len(self.place) > MOST_PIECES:  # bounded memory: start over
             self._forget()
         place, new = self.place, []
         at = np.empty(len(words), np.int64)
